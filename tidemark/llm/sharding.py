@@ -68,7 +68,7 @@ def near_equal(total: int, parts: int) -> np.ndarray:
     return np.full(parts, total // parts, np.int64) + (np.arange(parts) < total % parts)
 
 
-def shard(docs: DataFrame, shards: int, seed: int = 20, block_rows: int = 1 << 18, materialised: bool = False) -> DataFrame:
+def shard(docs: DataFrame, shards: int, seed: int = 20, block_rows: int = 1 << 16, materialised: bool = False) -> DataFrame:
     """Shuffle all rows uniformly into ``shards`` shards whose row counts differ by one at most.
 
     Adds ``law`` ('rows'), ``shard`` (from 0) and ``slot`` (the place in the shard, gapless
