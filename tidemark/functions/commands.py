@@ -18,38 +18,37 @@ def without_spaces(raw: Column) -> Column:
     return F.replace(raw, F.lit(" "), F.lit(""))
 
 
-def reject_code(raw: Column) -> Column:
+# The verbs over the raw text, spaces allowed anywhere, with the characters that must follow. Patterns on the raw text keep
+# ``cmd`` small when a filter on it is pushed down, where every reference to ``raw`` is replaced by its whole expression.
+_BAD_CHARACTER = r"[^\x20-\x39\x3B-\x7E]"
+_VERBS = {"SET": r"(?i)^ *s *e *t *[^ ] *[^ ] *[^ ]", "GET": r"(?i)^ *g *e *t *[^ ]", "DELETE": r"(?i)^ *d *e *l *e *t *e *[^ ]"}
+
+
+def command(raw: Column) -> Column:
+    """SET, GET or DELETE, null for a command that is rejected (also for null)."""
+    out = F.when(raw.rlike(_BAD_CHARACTER), None)
+    for verb, pattern in _VERBS.items():
+        out = out.when(raw.rlike(pattern), verb)
+    return out
+
+
+def reject_code(raw: Column, cmd: Column) -> Column:
     """0 if valid, -1 syntax, -2 missing argument; null input is a syntax error."""
     s = without_spaces(raw)
-    n, first = F.length(s), F.lower(F.substring(s, 1, 1))
-    head3, head6 = F.lower(F.substring(s, 1, 3)), F.lower(F.substring(s, 1, 6))
-    bad_text = raw.isNull() | raw.rlike(r"[^\x20-\x7E]") | raw.contains(":") | (n == 0)
-    return (
-        F.when(bad_text, -1)
-        .when(first.isin("s", "g") & (n < 3), -2)
-        .when(head3 == "set", F.when(n >= 6, 0).otherwise(-2))
-        .when(head3 == "get", F.when(n >= 4, 0).otherwise(-2))
-        .when(head6 == "delete", F.when(n >= 7, 0).otherwise(-2))
-        .otherwise(-1)
-    )
+    short = (F.lower(F.substring(s, 1, 1)).isin("s", "g") & (F.length(s) < 3)) | s.rlike(r"(?i)^(set|get|delete)")
+    return F.when(cmd.isNotNull(), 0).when(~raw.rlike(_BAD_CHARACTER) & short, -2).otherwise(-1)
 
 
 def parse(commands: DataFrame, raw: str = "raw") -> DataFrame:
     """Add ``cmd, key, value, valid, reject_code`` to a table of commands."""
-    s = F.col("_s")
+    s, cmd = F.col("_s"), F.col("cmd")
     body = F.substring(s, 4, 2147483647)
     equals = F.instr(body, "=")
-    cmd = F.when(F.col("reject_code") != 0, None).when(F.lower(F.substring(s, 1, 3)) == "set", "SET").when(F.lower(F.substring(s, 1, 3)) == "get", "GET").otherwise("DELETE")
-    key = F.when(F.col("cmd") == "DELETE", F.substring(s, 7, 2147483647)).when(F.col("cmd").isNotNull(), F.substring_index(body, "=", 1))
-    value = F.when(F.col("cmd") == "DELETE", "").when(
-        F.col("cmd").isNotNull(), F.when(equals > 0, F.replace(F.substring(body, equals + 1, F.lit(2147483647)), F.lit("="), F.lit(""))).otherwise("")
-    )
-    return (
-        commands.withColumns({"_s": without_spaces(F.col(raw)), "reject_code": reject_code(F.col(raw))})
-        .withColumn("cmd", cmd)
-        .withColumns({"key": key, "value": value, "valid": F.col("reject_code") == 0})
-        .drop("_s")
-    )
+    key = F.when(cmd == "DELETE", F.substring(s, 7, 2147483647)).when(cmd.isNotNull(), F.substring_index(body, "=", 1))
+    after = F.when(equals > 0, F.replace(F.substring(body, equals + 1, F.lit(2147483647)), F.lit("="), F.lit(""))).otherwise("")
+    value = F.when(cmd == "DELETE", "").when(cmd.isNotNull(), after)
+    named = commands.withColumns({"_s": without_spaces(F.col(raw)), "cmd": command(F.col(raw))})
+    return named.withColumns({"reject_code": reject_code(F.col(raw), cmd), "key": key, "value": value, "valid": cmd.isNotNull()}).drop("_s")
 
 
 def written_bytes(cmd: Column, key: Column, value: Column) -> Column:

@@ -252,20 +252,21 @@ _LAST = """, last AS (
     SELECT key, seq, value, cmd = 'DELETE' AS tombstone FROM parsed WHERE cmd IN ('SET', 'DELETE') QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1),
 state AS (SELECT key, value FROM last WHERE NOT tombstone AND value <> '')
 """
-_SEGMENTS = f""", numbered AS (
+_SEGMENTS = f""", counted AS (
     SELECT seq, row_number() OVER (ORDER BY seq) AS rn, cmd = 'SET' AS is_set,
         CASE cmd WHEN 'SET' THEN length(key) + length(value) + 64 WHEN 'DELETE' THEN length(key) + 64 ELSE 0 END AS delta
     FROM parsed WHERE valid),
+numbered AS MATERIALIZED (
+    SELECT seq, rn, (sum(delta) OVER (ORDER BY rn))::BIGINT AS total, min(CASE WHEN is_set THEN rn END) OVER (ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next_set
+    FROM counted),
 fold AS (
-    SELECT 0::BIGINT AS rn, 0::BIGINT AS seg, 0::BIGINT AS bytes, false AS has_set, NULL::BIGINT AS seq, 0::BIGINT AS own_seg, 0::BIGINT AS own_bytes
+    SELECT -1::BIGINT AS seg, 0::BIGINT AS upto, 0::BIGINT AS base
     UNION ALL
-    SELECT n.rn,
-        CASE WHEN f.bytes + n.delta >= {FLUSH} AND (f.has_set OR n.is_set) THEN f.seg + 1 ELSE f.seg END,
-        CASE WHEN f.bytes + n.delta >= {FLUSH} AND (f.has_set OR n.is_set) THEN 0 ELSE f.bytes + n.delta END,
-        CASE WHEN f.bytes + n.delta >= {FLUSH} AND (f.has_set OR n.is_set) THEN false ELSE f.has_set OR n.is_set END,
-        n.seq, f.seg, f.bytes + n.delta
-    FROM fold f JOIN numbered n ON n.rn = f.rn + 1),
-placed AS (SELECT seq, own_seg AS segment_id, own_bytes AS mem_bytes FROM fold WHERE seq IS NOT NULL),
+    SELECT seg + 1, rn, total FROM (
+        SELECT f.seg, n.rn, n.total, row_number() OVER (ORDER BY n.rn) AS nth
+        FROM fold f JOIN numbered s ON s.rn = f.upto + 1 JOIN numbered n ON n.rn >= s.next_set AND n.total >= f.base + {FLUSH}) WHERE nth = 1),
+placed AS (
+    SELECT n.seq, f.seg + 1 AS segment_id, n.total - f.base AS mem_bytes FROM numbered n ASOF JOIN fold f ON n.rn > f.upto),
 ops AS (SELECT p.*, q.segment_id, q.mem_bytes FROM parsed p JOIN placed q USING (seq)),
 segs AS (
     SELECT segment_id, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS n_ops, max(mem_bytes) AS bytes,
@@ -277,7 +278,7 @@ entries AS (
         FROM ops WHERE cmd IN ('SET', 'DELETE')) WHERE has_set AND back = 1),
 merged AS (SELECT key, segment_id, value, tombstone FROM entries QUALIFY row_number() OVER (PARTITION BY key ORDER BY segment_id DESC) = 1),
 levels AS (
-    SELECT segment_id, (segment_id + 1) % 4 = 0 AS compacts, (segment_id + 1) % 4 AS l0_files, CASE WHEN segment_id + 1 >= 4 THEN 1 ELSE 0 END AS l1_files,
+    SELECT segment_id, (segment_id + 1) % 4 = 0 AS compacts, (segment_id + 1) % 4 AS l0_files, (CASE WHEN segment_id + 1 >= 4 THEN 1 ELSE 0 END)::BIGINT AS l1_files,
         CASE WHEN segment_id + 1 <= (SELECT count(*) FROM segs WHERE flushed) // 4 * 4 THEN 1 ELSE 0 END AS level
     FROM segs WHERE flushed),
 sizes AS (SELECT *, 5 + length(key) + CASE WHEN tombstone THEN 0 ELSE 4 + length(value) END AS entry_size FROM entries),
@@ -286,7 +287,7 @@ laid AS (
     FROM sizes WINDOW w AS (PARTITION BY segment_id ORDER BY key)),
 idx AS (SELECT segment_id, key, entry_offset FROM laid WHERE ordinal % 16 = 0),
 blooms AS (
-    SELECT *, least(20, greatest(1, floor(m * ln(2) / n + 0.5)))::BIGINT AS k FROM (
+    SELECT *, least(20, greatest(1, floor(m * ln(2) / n + 0.5)))::INTEGER AS k FROM (
         SELECT segment_id, count(*) AS n, greatest(64, ceil(-count(*) * ln(0.01) / (ln(2) * ln(2))))::BIGINT AS m FROM entries GROUP BY segment_id)),
 probes AS (SELECT seq AS probe_id, segment_id - 1 AS segment_id, key FROM ops WHERE cmd = 'GET' AND segment_id > 0)
 """
@@ -340,7 +341,7 @@ def oracle_sql() -> dict[str, str]:
                 coalesce(least(l.ordinal + CASE WHEN l.key = p.key THEN 0 ELSE 1 END, b.n - 1) - l.ordinal // 16 * 16 + 1, 0) AS entries_read
             FROM probes p ASOF LEFT JOIN laid l ON p.segment_id = l.segment_id AND p.key >= l.key LEFT JOIN blooms b ON b.segment_id = p.segment_id"""),
         "bloom_params": segs("SELECT segment_id, n, m, k, 5 + (m + 7) // 8 AS section_bytes FROM blooms"),
-        "bloom_no_false_negative": segs("SELECT segment_id, n AS n_keys, 0 AS denied FROM blooms"),
+        "bloom_no_false_negative": segs("SELECT segment_id, n AS n_keys, 0::BIGINT AS denied FROM blooms"),
         "wal_encode": log(f"SELECT seq, {_RECORD} AS record FROM parsed WHERE cmd IN ('SET', 'DELETE')"),
         "wal_roundtrip": segs("SELECT segment_id AS log_id, row_number() OVER (PARTITION BY segment_id ORDER BY seq) - 1 AS ordinal, cmd, key, value FROM ops WHERE cmd <> 'GET'"),
         "wal_recover": last("SELECT * FROM state"),
