@@ -32,6 +32,21 @@ LABELLED = (
     (1, "http://click-ads-track.example/popunder/redirect?aff=9"), (1, "https://adserver.example/banner/click?aff=77"),
     (1, "http://crypto-doubler.example/free-bitcoin/claim"), (1, "https://bitcoin-profit.example/get-rich/win"),
     (1, "http://hot-milf-porn.example/xxx"), (1, "https://warez-movies.example/torrent/download-free"),
+    (1, "https://ads.network.example/serve/banner"), (1, "http://ad-tracker.example/pixel?id=4"),
+    (1, "https://tracking.clicks.example/ads/redirect"), (1, "http://www.adult-videos.example/watch/18"),
+    (1, "https://adults-only.example/gallery"), (1, "http://m.popads.example/track/click"),
+    (1, "http://casino-royal.example/en/5512.html"), (1, "https://www.adult-zone.example/es/20114/"),
+    (1, "https://m.bet-now.example/fr/901?utm_source=feed"), (1, "http://spam-links.example/de/44120#top"),
+    (1, "https://blog.pills-shop.example/es/3310?page=2&ref=x"), (1, "http://ads-clicks.example/es/70021"),
+    (1, "https://porn-hd.example/fr/6620/"), (1, "http://www.adult-chat.example/en/18870#top"),
+    (1, "https://track-ads.example/de/9003.html"), (1, "http://m.free-casino.example/es/55120"),
+    (0, "https://m.thunder.example/es/7002"), (0, "http://www.therapy.example/es/18113/"), (0, "https://blog.ratio.example/es/40117?utm_source=feed"),
+    (0, "https://m.nations.example/de/5521#top"), (0, "http://blog.winter.example/en/9911/"), (0, "https://www.anthem.example/fr/30071.html"),
+    (0, "http://m.tension.example/en/61190"), (0, "https://thermal.example/de/7710.html"), (0, "https://blog.theory.example/fr/2209?page=2&ref=x"),
+    (0, "http://www.station.example/es/818"), (0, "https://m.northern.example/fr/40501/"), (0, "http://heathland.example/es/66102.html"),
+    (0, "https://track-and-field.example/results/100m"), (0, "http://adaptive-optics.example/papers/2004"),
+    (0, "https://www.adventure-books.example/en/771"), (0, "http://trackbed.railway.example/de/5512/"),
+    (0, "https://m.poetry.example/en/40022.html"), (0, "http://www.cinema.example/fr/8712/"),
     (0, "https://www.library.example/catalogue/history"), (0, "http://news.city.example/2019/05/council-meeting"),
     (0, "https://blog.garden.example/en/1042/"), (0, "https://m.weather.example/fr/88231.html"),
     (0, "http://www.university.example/physics/lectures/3"), (0, "https://docs.project.example/manual/install.html"),
@@ -93,11 +108,11 @@ def train(spark: SparkSession, labelled: tuple[tuple[int, str], ...] = LABELLED,
     host, path = split_url(F.col("url"))
     table = table.select("label", ngrams(host, path).alias("grams"))
     hashing = HashingTF(inputCol="grams", outputCol="features", numFeatures=features, binary=True)
-    regression = LogisticRegression(maxIter=60, regParam=0.01, standardization=False, probabilityCol="probability")
+    regression = LogisticRegression(maxIter=60, regParam=0.002, standardization=False, probabilityCol="probability")
     return PipelineModel([hashing, regression.fit(hashing.transform(table))])
 
 
-def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, model: PipelineModel | None = None, threshold: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, model: PipelineModel | None = None, threshold: float = 0.6) -> DataFrame:
     """Judge every URL: ``page_id, url, host, path, rule, verdict, block_score``.
 
     A rule's verdict holds; else the classifier's: block from ``threshold`` on. A URL that is
