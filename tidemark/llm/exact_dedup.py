@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE_CLASS, checkpoint, ensure_columns, small_enough
+from tidemark.llm.common import SPACE_CLASS, checkpoint, ensure_columns, scratch_table, small_enough
 
 
 class CountingQuotientFilter:
@@ -179,7 +179,9 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     groups = winners.join(bytes_equal, ["fp", "sha"]).select(
         "fp", "sha", "keep", F.when(F.col("texts") > 1, F.raise_error(F.lit("different texts with one SHA-256"))).otherwise(F.col("group_size")).alias("group_size")
     )
-    out = rows.join(groups, ["fp", "sha"], "left")
+    # Read back from a table, the groups have no partitioning of their own: both sides of this join are then shuffled
+    # for it, and adaptive execution can split a hot group's rows among tasks (or broadcast few groups).
+    out = rows.join(scratch_table(groups, "exact-groups"), ["fp", "sha"], "left")
     return out.select(
         "doc_id",
         F.when(F.col("keep").isNull(), F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("keep_id"),
