@@ -148,6 +148,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, seed_words: int = 12
     windows = docs.join(wanted, "doc_id").select("doc_id", "text", "runs").mapInArrow(windows_of, "h long, doc long, s long, low long, high long")
     windows = scratch_table(windows, "suffix-windows")
     again = windows.groupBy("h").agg(F.min("low").alias("l"), F.max("high").alias("g")).where("l < g").select("h")
+    again = scratch_table(again, "suffix-repeats")  # without a partitioning, so that the join below can be split where a window is hot
     extended = windows.where("low = high").join(again, "h", "left_semi").select("doc", "s", (F.col("s") + min_words).alias("e"))
     by_start = Window.partitionBy("doc").orderBy("s", "e")
     reached = F.max("e").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
