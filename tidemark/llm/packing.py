@@ -22,7 +22,7 @@ from tidemark.llm.common import ensure_columns, scratch_table
 #: Items of a class have lengths that differ by less than this.
 GRAIN = 8
 #: Documents that a task ranks at a time, about.
-RANK_ROWS = 1 << 15
+RANK_ROWS = 1 << 13
 _encodings: dict[tuple[str, str], object] = {}
 
 
