@@ -122,8 +122,11 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, seed_words: int = 12
 
     runs = scratch_table(docs.select("doc_id", "text").mapInArrow(runs_of, "doc long, seed long, first int, count int, whole long"), "suffix-runs")
     shared = runs.groupBy("seed").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("seed")
+    # Tables read back have no partitioning of their own: both sides of a join are shuffled for it, and a hot seed can be split.
+    shared = scratch_table(shared, "suffix-seeds")
     near = scratch_table(runs.join(shared, "seed", "left_semi"), "suffix-neighbours")
     classes = near.groupBy("seed", "whole").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min(F.struct("doc", "first")).alias("one"))
+    classes = scratch_table(classes, "suffix-groups")
     mixed = classes.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed", F.lit(True).alias("mixed"))
     marked = near.join(classes, ["seed", "whole"]).join(mixed, "seed", "left")
     marked = scratch_table(marked.where("low < high OR mixed").select("doc", "first", "count", "low", "high", "mixed", (F.struct("doc", "first") == F.col("one")).alias("leads")), "suffix-classes")
@@ -148,7 +151,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, seed_words: int = 12
     windows = docs.join(wanted, "doc_id").select("doc_id", "text", "runs").mapInArrow(windows_of, "h long, doc long, s long, low long, high long")
     windows = scratch_table(windows, "suffix-windows")
     again = windows.groupBy("h").agg(F.min("low").alias("l"), F.max("high").alias("g")).where("l < g").select("h")
-    again = scratch_table(again, "suffix-repeats")  # without a partitioning, so that the join below can be split where a window is hot
+    again = scratch_table(again, "suffix-repeats")
     extended = windows.where("low = high").join(again, "h", "left_semi").select("doc", "s", (F.col("s") + min_words).alias("e"))
     by_start = Window.partitionBy("doc").orderBy("s", "e")
     reached = F.max("e").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
