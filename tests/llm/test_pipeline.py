@@ -52,7 +52,7 @@ def test_run(spark, sf_dir):
 
 def test_stages_keep_the_columns_and_take_awkward_tables(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    extra = docs.selectExpr("*", "1 AS copies", "'x' AS `key`", "2.0 AS target", "'y' AS lang_pred", "3 AS fp")
+    extra = docs.selectExpr("*", "1 AS copies", "'x' AS `key`", "2.0 AS target", "'y' AS lang_pred", "3 AS fp", "4 AS times", "5 AS k_doc", "6 AS m_key", "7 AS __rank", "8 AS __doc", "9 AS __key", "'z' AS __sha256", "1 AS __copy")
     twice = extra.limit(60).unionAll(extra.limit(60))
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(0), sf_dir).count() == 0, name

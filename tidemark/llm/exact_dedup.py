@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE_CLASS, checkpoint, ensure_columns, scratch_table, small_enough
+from tidemark.llm.common import SPACE_CLASS, checkpoint, ensure_columns, scratch_name, scratch_table, small_enough
 
 
 class CountingQuotientFilter:
@@ -196,9 +196,9 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     kept = exact_duplicates(docs).where("kept").select("doc_id", "text_sha256").distinct()
-    sha, rank, key = "__sha256", "__rank", "__doc"
+    sha, rank, key, k_doc, k_sha = (scratch_name(docs, x) for x in ("sha256", "rank", "doc", "kept_doc", "kept_sha256"))
     marked = docs.withColumn(sha, F.sha2(normalised("text"), 256)).withColumn(key, F.col("doc_id").cast("long"))
-    kept = kept.select(F.col("doc_id").alias("k_doc"), F.col("text_sha256").alias("k_sha"))
-    joined = marked.join(kept, (F.col(sha) == F.col("k_sha")) & F.col(key).eqNullSafe(F.col("k_doc")), "left_semi")
+    kept = kept.select(F.col("doc_id").alias(k_doc), F.col("text_sha256").alias(k_sha))
+    joined = marked.join(kept, (F.col(sha) == F.col(k_sha)) & F.col(key).eqNullSafe(F.col(k_doc)), "left_semi")
     one = Window.partitionBy(sha, key).orderBy(F.length(F.coalesce(F.col("text"), F.lit(""))).desc())
     return joined.withColumn(rank, F.row_number().over(one)).where(F.col(rank) == 1).drop(sha, rank, key)

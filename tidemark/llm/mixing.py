@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD_PATTERN, checkpoint, ensure_columns
+from tidemark.llm.common import WORD_PATTERN, checkpoint, ensure_columns, scratch_name
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -172,9 +172,11 @@ def take_mix(docs: DataFrame, **settings) -> DataFrame:
     often as all of them together. Documents without words are never taken.
     """
     taken = mix(docs, **settings).where("size > 0 AND copies > 0").groupBy("doc_id", "key", "source").agg(F.sum("copies").cast("int").alias("times"))
-    taken = taken.select(F.col("doc_id").alias("m_doc"), F.col("key").alias("m_key"), F.col("source").alias("m_source"), "times")
-    marked = docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__key": F.xxhash64("text"), "__source": F.col("source").cast("string")})
-    one = Window.partitionBy("__doc", "__key", "__source").orderBy("__doc")
-    marked = marked.withColumn("__rank", F.row_number().over(one)).where("__rank = 1")
-    same = F.col("__doc").eqNullSafe(F.col("m_doc")) & (F.col("__key") == F.col("m_key")) & F.col("__source").eqNullSafe(F.col("m_source"))
-    return marked.join(taken, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    doc, key, source, rank, copy = (scratch_name(docs, x) for x in ("doc", "key", "source", "rank", "copy"))
+    mix_doc, mix_key, mix_source, times = (scratch_name(docs, x) for x in ("mix_doc", "mix_key", "mix_source", "times"))
+    taken = taken.select(F.col("doc_id").alias(mix_doc), F.col("key").alias(mix_key), F.col("source").alias(mix_source), F.col("times").alias(times))
+    marked = docs.withColumns({doc: F.col("doc_id").cast("long"), key: F.xxhash64("text"), source: F.col("source").cast("string")})
+    one = Window.partitionBy(doc, key, source).orderBy(doc)
+    marked = marked.withColumn(rank, F.row_number().over(one)).where(F.col(rank) == 1)
+    same = F.col(doc).eqNullSafe(F.col(mix_doc)) & (F.col(key) == F.col(mix_key)) & F.col(source).eqNullSafe(F.col(mix_source))
+    return marked.join(taken, same).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])

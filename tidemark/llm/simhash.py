@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint, connected_components, ensure_columns
+from tidemark.llm.common import checkpoint, connected_components, ensure_columns, scratch_name
 from tidemark.llm.unions import Unions
 
 #: The reference fingerprints (pivots) of the distance table: drawn once, alike everywhere.
@@ -176,9 +176,10 @@ def drop_near_duplicates(docs: DataFrame, distance: int = 4) -> DataFrame:
     """
     found = near_duplicates(docs, distance)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("key").alias("k_key"))
-    kept = kept.select(F.col("component_id").alias("k_doc"), "k_key")
-    marked = docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__key": F.xxhash64("text")})
-    same = F.col("__doc").eqNullSafe(F.col("k_doc")) & (F.col("__key") == F.col("k_key"))
-    one = Window.partitionBy("__doc", "__key").orderBy("__doc")
-    joined = marked.join(kept, same, "left_semi").withColumn("__rank", F.row_number().over(one))
-    return joined.where("__rank = 1").drop("__rank", "__doc", "__key")
+    doc, key, rank, kept_doc, kept_key = (scratch_name(docs, x) for x in ("doc", "key", "rank", "kept_doc", "kept_key"))
+    kept = kept.select(F.col("component_id").alias(kept_doc), F.col("k_key").alias(kept_key))
+    marked = docs.withColumns({doc: F.col("doc_id").cast("long"), key: F.xxhash64("text")})
+    same = F.col(doc).eqNullSafe(F.col(kept_doc)) & (F.col(key) == F.col(kept_key))
+    one = Window.partitionBy(doc, key).orderBy(doc)
+    joined = marked.join(kept, same, "left_semi").withColumn(rank, F.row_number().over(one))
+    return joined.where(F.col(rank) == 1).drop(rank, doc, key)
