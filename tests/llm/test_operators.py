@@ -218,6 +218,14 @@ def test_html_awkward(spark):
     assert {r[1] for r in got if r[0] == 5} >= {5000 * 15 - 1}
 
 
+def test_html_takes_deep_and_unclosed_elements():
+    deep = html_text.extract("<article>" + "a line of text<div>" * 30_000)
+    assert deep == " ".join(["a line of text"] * 30_000)
+    assert html_text.extract("<article><h1>Head</h1><div>" + "<p>words of the body</p>" * 50 + "</div></article>").startswith("Head words")
+    loose = html_text.extract("<span>" * 30_000 + "<p>words</p></b>" * 30_000)
+    assert loose == " ".join(["words"] * 30_000)
+
+
 # 5 mixing
 
 
@@ -418,6 +426,11 @@ def test_language(spark, sf_dir, awkward):
     assert language_id.keep_identified(mixed).count() == 8
 
 
+@pytest.mark.parametrize(("text", "letter"), [(None, False), ("", False), ("12 ½ ² Ⅷ ③ _!", False), ("½ é", True), ("漢", True), ("12a", True)])
+def test_numerals_are_no_letters(text, letter):
+    assert language_id.has_letter(text) == letter
+
+
 def test_features_are_the_same_in_chunks(monkeypatch):
     text = "Füße im Schnee " * 50
     whole = language_id.featurise(text)

@@ -8,6 +8,7 @@ threshold, and the regions found say which part of the page is the article.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
@@ -48,7 +49,7 @@ class Line:
     text: str
     tags: int
     linked: int
-    path: tuple[int, ...]  # the regions it is in, outermost first
+    region: int  # the innermost region it is in, 0 for none
     article: bool
 
 
@@ -59,22 +60,24 @@ class LineParser(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self._stack: list[tuple[str, bool, bool]] = []  # name, opens a region, dropped from here
-        self._regions: list[tuple[int, str]] = []
-        self._made = self._dropped = self._links = 0
+        self.parents = [0]  # of each region, the one around it; a region's number is above its parent's
+        self.inner = [False]  # of each region, whether it is a mere part of an article
+        self._region = 0
+        self._open: Counter[str] = Counter()  # elements on the stack, so that none is searched for in vain
+        self._dropped = self._articles = 0
         self._text: list[str] = []
         self._tags = self._linked = 0
 
     def _flush(self) -> None:
         text = " ".join("".join(self._text).split())
         if text:
-            path = tuple(k for k, _ in self._regions)
-            self.lines.append(Line(text, max(1, self._tags), self._linked, path, any(n in ("article", "main") for _, n in self._regions)))
+            self.lines.append(Line(text, max(1, self._tags), self._linked, self._region, self._articles > 0))
             self._tags = 0
         self._text.clear()
         self._linked = 0
 
     def _drops(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in _DROP or (tag == "header" and not any(n in ("article", "main") for _, n in self._regions)):
+        if tag in _DROP or (tag == "header" and not self._articles):
             return True
         if tag in ("html", "body", "article", "main"):
             return False
@@ -87,12 +90,11 @@ class LineParser(HTMLParser):
 
     def _pop(self) -> None:
         tag, region, dropped = self._stack.pop()
+        self._open[tag] -= 1
         if region:
-            self._regions.pop()
-        if dropped:
-            self._dropped -= 1
-        if tag == "a":
-            self._links -= 1
+            self._region = self.parents[self._region]
+            self._articles -= tag in ("article", "main")
+        self._dropped -= dropped
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self._tags += 1
@@ -109,15 +111,19 @@ class LineParser(HTMLParser):
         dropped = not self._dropped and self._drops(tag, attrs) or bool(self._dropped)
         region = tag in _REGION and not dropped
         self._stack.append((tag, region, dropped))
+        self._open[tag] += 1
         self._dropped += dropped
         if region:
-            self._made += 1
-            self._regions.append((self._made, tag))
-        if tag == "a":
-            self._links += 1
+            article = tag in ("article", "main")
+            self.parents.append(self._region)
+            self.inner.append(self._articles > 0 and not article)
+            self._region = len(self.parents) - 1
+            self._articles += article
 
     def _close(self, names: set[str], fences: frozenset[str] | set[str]) -> None:
         """Close an open element of one of the names, if no fence stands between."""
+        if not any(self._open[name] for name in names):
+            return
         for k in range(len(self._stack) - 1, -1, -1):
             if self._stack[k][0] in names:
                 while len(self._stack) > k:
@@ -130,6 +136,8 @@ class LineParser(HTMLParser):
         self._tags += 1
         if tag in _BLOCK:
             self._flush()
+        if not self._open[tag]:
+            return
         for k in range(len(self._stack) - 1, -1, -1):
             if self._stack[k][0] == tag:
                 while len(self._stack) > k:
@@ -139,7 +147,7 @@ class LineParser(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self._dropped:
             self._text.append(data)
-            if self._links:
+            if self._open["a"]:
                 self._linked += len(data)
 
     def close(self) -> None:
@@ -173,15 +181,22 @@ def extract(html: str | None) -> str:
         return ""
     chosen = content_lines(lines)
     in_article = any(x.article for x in lines)
-    weight: dict[int, int] = {}
+    parents = parser.parents
+    weight = [0] * len(parents)  # of the content's text in each region
     for x, content in zip(lines, chosen.tolist(), strict=True):
         if content and (x.article or not in_article):
-            for k in x.path:
-                weight[k] = weight.get(k, 0) + len(x.text)
-    total = max(weight.values(), default=0)
-    # The innermost region that holds nearly all of the content's text.
-    best = max((k for k, w in weight.items() if w >= 0.9 * total), default=None)
-    kept = [x.text for x in lines if (best is None or best in x.path) and (in_article or 2 * x.linked <= len(x.text))]
+            weight[x.region] += len(x.text)
+    weight[0] = 0
+    for k in range(len(parents) - 1, 0, -1):
+        if parents[k]:
+            weight[parents[k]] += weight[k]
+    total = max(weight)
+    # The innermost region that holds nearly all of the content's text; an article isn't cut any smaller.
+    best = max((k for k, w in enumerate(weight) if w and w >= 0.9 * total and not parser.inner[k]), default=0)
+    inside = [not best] * len(parents)
+    for k in range(1, len(parents)):
+        inside[k] = k == best or inside[parents[k]]
+    kept = [x.text for x in lines if inside[x.region] and (in_article or 2 * x.linked <= len(x.text))]
     return " ".join(kept)
 
 

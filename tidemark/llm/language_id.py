@@ -26,7 +26,7 @@ FEATURES = 1 << 12
 #: The bound of the training sample: at most this many labelled documents of each language.
 SAMPLE_PER_LANGUAGE = 600
 _CHUNK = 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
+_MAYBE_LETTER = re.compile(r"[^\W\d_]")  # also matches numerals such as ½, which are no letters
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[65:91] += 32  # A-Z to a-z
 _FOLD[[9, 10, 11, 12, 13]] = 32
@@ -34,7 +34,7 @@ _FOLD[48:58] = 48
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    return bool(text) and any(m.group().isalpha() for m in _MAYBE_LETTER.finditer(text))
 
 
 def featurise(text: str) -> np.ndarray:
