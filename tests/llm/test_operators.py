@@ -142,6 +142,24 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("common", [0.5, 0.8])
+def test_embeddings_with_a_common_direction(spark, common):
+    rng = np.random.default_rng(7)
+
+    def unit(v):
+        return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+    x = unit(math.sqrt(common) * unit(rng.standard_normal((1, 64))) + math.sqrt(1 - common) * unit(rng.standard_normal((6000, 64))))
+    at = x[:300]
+    aside = rng.standard_normal(at.shape)
+    x = np.concatenate((x, 0.935 * at + math.sqrt(1 - 0.935**2) * unit(aside - (aside * at).sum(axis=1, keepdims=True) * at)))
+    links = x @ x.T >= 0.93
+    np.fill_diagonal(links, False)
+    df = spark.createDataFrame([Row(vec_id=i, embedding=v, label=0) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in rows_of(embedding_dedup.near_duplicate_vectors(df, run_rows=1500))}
+    assert sum(got.values()) >= 0.98 * links.sum() and all(got[i] <= n for i, n in enumerate(links.sum(axis=1).tolist()))
+
+
 def test_passes_grow_with_rows():
     assert 3 <= embedding_dedup.passes_needed(5000, 64, 0.93) < embedding_dedup.passes_needed(5_000_000, 64, 0.93)
 

@@ -2,6 +2,9 @@
 
 Each pass orders the vectors of a label lexicographically by the concatenated signs of
 random projections and compares every vector with a bounded window of its successors.
+A run of keys with one prefix that a window can't hold is compared whole, in blocks, so
+signs that are far from even (vectors with a common direction) lose no pair; a label
+whose passes would compare as many pairs as there are is compared whole once.
 The pairs verified in all passes are united; inside a component found so, all pairs are
 then compared exactly, in blocks, so a window's bound loses no link of a dense group.
 """
@@ -23,15 +26,21 @@ from tidemark.llm.unions import Unions
 KEY_BITS = 62
 
 
+def prefix_bits(rows: int, window: int) -> int:
+    """Signs that narrow ``rows`` vectors down to half a window, if each halves them."""
+    return min(KEY_BITS, math.ceil(math.log2(max(1.0, 2.0 * rows / window))))
+
+
 def passes_needed(rows: int, window: int, threshold: float, recall: float = 0.99) -> int:
     """Passes after which a pair exactly at the threshold has met with this probability.
 
-    Such a pair agrees in a sign with probability 1 - angle / pi, and meets in a pass if it
-    agrees in the signs that narrow ``rows`` vectors down to a window. More rows take more
-    passes, not a longer window.
+    Such a pair agrees in a sign with probability 1 - angle / pi, wherever the other
+    vectors are, and meets in a pass if it agrees in the signs of the prefix: the vectors
+    that share them are in one window or are compared whole. More rows take more passes,
+    not a longer window.
     """
     agree = 1.0 - math.acos(threshold) / math.pi
-    meet = agree ** max(0.0, math.log2(max(1.0, 2.0 * rows / window)))
+    meet = agree ** prefix_bits(rows, window)
     return max(3, math.ceil(math.log(1.0 - recall) / math.log(max(1e-12, 1.0 - meet)))) if meet < 1.0 else 3
 
 
@@ -74,6 +83,23 @@ def _compare_windows(window: int, threshold: float):
     return compare
 
 
+def _compare_runs(threshold: float):
+    def compare(g: pd.DataFrame) -> pd.DataFrame:
+        edges = []
+        for (_, _, _, _, first, second), run in g.groupby(["pass", "label", "dim", "prefix", "x", "y"], sort=False):
+            x, part, ids = unit_rows(run["embedding"].tolist()), run["part"].to_numpy(), run["id"].to_numpy()
+            unions = Unions(len(run))
+            for at in range(0, len(run), 256):  # a slab of the block's cosines at a time
+                i, j = np.nonzero(x[at : at + 256] @ x[at:].T >= threshold)
+                keep = (i < j) & ((part[at + i] != part[at + j]) if first != second else True)
+                unions.add(at + i[keep], at + j[keep])
+            a, b = unions.edges()
+            edges.append(pd.DataFrame({"a": ids[a], "b": ids[b]}))
+        return pd.concat(edges)
+
+    return compare
+
+
 def _count_links(threshold: float):
     def count(g: pd.DataFrame) -> pd.DataFrame:
         x, m, part = unit_rows(g["embedding"].tolist()), g["m"].to_numpy(np.float64), g["part"].to_numpy()
@@ -89,7 +115,7 @@ def _count_links(threshold: float):
 
 
 def near_duplicate_vectors(
-    vectors: DataFrame, threshold: float = 0.93, window: int = 64, passes: int | None = None, seed: int = 2, chunk_rows: int = 4096, block_rows: int = 1024
+    vectors: DataFrame, threshold: float = 0.93, window: int = 64, passes: int | None = None, seed: int = 2, chunk_rows: int = 4096, block_rows: int = 1024, run_rows: int = 4096
 ) -> DataFrame:
     """One row for each vector: ``vec_id, n_links, component_id, kept``.
 
@@ -105,8 +131,10 @@ def near_duplicate_vectors(
     usable = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & finite & F.exists("embedding", lambda x: x != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), "embedding").withColumn("usable", F.coalesce(usable, F.lit(False)))
     classes = checkpoint(rows.where("usable").groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("m")).withColumn("dim", F.size("embedding")))
+    labels = checkpoint(classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("rows")))
+    most = labels.agg(F.max("rows")).first()[0] or 0
+    bits = prefix_bits(most, window)
     if passes is None:
-        most = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
         passes = passes_needed(most, window, threshold)
     order = ["pass", "label", "dim", "k", "id"]
     keys = classes.select("id", "label", "dim", "embedding").mapInPandas(_sort_keys(passes, seed), "pass int, label string, dim int, k long, id long")
@@ -120,6 +148,22 @@ def near_duplicate_vectors(
     before_too = F.concat(also, F.array(F.struct((chunk - 1).alias("c"), F.lit(True).alias("tail"))))
     placed = ranked.withColumn("to", F.explode(F.when((inside < window) & (chunk > 0), before_too).otherwise(also))).select("pass", "label", "dim", "id", "r", "to.c", "to.tail")
     found = placed.join(classes.select("id", "embedding"), "id").groupBy("c").applyInPandas(_compare_windows(window, threshold), "a long, b long")
+    runs = ordered.select("pass", "label", "dim", F.shiftright("k", KEY_BITS - bits).alias("prefix"), "id")
+    crowded = checkpoint(runs.groupBy("pass", "label", "dim", "prefix").count().where(F.col("count") > window + 1))
+    compared = crowded.groupBy("label", "dim").agg(F.sum(F.col("count") * F.col("count")).alias("pairs"))
+    every = F.coalesce("pairs", F.lit(0)) + F.col("rows") * (2 * passes * window) >= F.col("rows") * F.col("rows")
+    entire = checkpoint(labels.where("rows > 1").join(compared, ["label", "dim"], "left").where(every).select("label", "dim", "rows"))
+    in_runs = runs.join(crowded.join(entire, ["label", "dim"], "left_anti"), ["pass", "label", "dim", "prefix"])
+    in_labels = classes.join(entire, ["label", "dim"]).select(F.lit(-1).alias("pass"), "label", "dim", F.lit(0).cast("long").alias("prefix"), "id", F.col("rows").alias("count"))
+    crowd = in_runs.unionByName(in_labels).withColumn("g", F.ceil(F.col("count") / run_rows).cast("int"))
+    crowd = crowd.withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "id"), F.col("g").cast("long")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    crowd = crowd.withColumns({"x": F.least("part", "o"), "y": F.greatest("part", "o")})
+    # Short runs share a task's frame, each long run's block is one of its own.
+    workers = math.ceil((crowded.where(F.col("count") <= 512).agg(F.sum("count")).first()[0] or 0) / run_rows) + 1
+    own = F.xxhash64("pass", "label", "dim", "prefix", "x", "y")
+    crowd = crowd.withColumn("w", F.when(F.col("count") <= 512, F.pmod(own, F.lit(workers).cast("long"))).otherwise(own))
+    crowd = crowd.select("pass", "label", "dim", "prefix", "id", "part", "x", "y", "w").join(classes.select("id", "embedding"), "id")
+    found = found.unionByName(crowd.groupBy("w").applyInPandas(_compare_runs(threshold), "a long, b long"))
     components = checkpoint(connected_components(found))
     sizes = components.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("g"))
     members = components.join(sizes, "component").join(classes.select(F.col("id").alias("node"), "embedding", "m"), "node")
