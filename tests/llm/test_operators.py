@@ -236,6 +236,20 @@ def test_html_awkward(spark):
     assert {r[1] for r in got if r[0] == 5} >= {5000 * 15 - 1}
 
 
+def test_html_keeps_all_of_split_content():
+    a, b, c = (" ".join(f"{w}{k} of the text" for k in range(n)) for w, n in (("first", 80), ("second", 20), ("third", 6)))
+    link = "<a href='/x'>a paragraph that is for the most part a link</a> ok."
+    for html, want in (
+        (f"<html><p>{a}</p><div>{b}</div>", [a, b]),
+        (f"<div>{a}</div><div>{b}</div>", [a, b]),
+        (f"<html><body><div id=content><h1>Head</h1><div class=lead>{c}</div><div class=body><p>{a}</p><p>{b}</p></div></div></body>", ["Head", c, a, b]),
+        (f"<body><div class=post><p>{c}</p><blockquote><p>{a}</p></blockquote><p>{c}</p></div></body>", [c, a, c]),
+        (f"<body><article><p>{a}</p></article><div>aside from it</div><article><p>{c}</p></article></body>", [a, c]),
+        (f"<body><div class=post><p>{a}</p><p>{link}</p><p>{b}</p></div></body>", [a, "a paragraph that is for the most part a link ok.", b]),
+    ):
+        assert html_text.extract(html) == " ".join(want), html[:60]
+
+
 def test_html_takes_deep_and_unclosed_elements():
     deep = html_text.extract("<article>" + "a line of text<div>" * 30_000)
     assert deep == " ".join(["a line of text"] * 30_000)

@@ -182,21 +182,17 @@ def extract(html: str | None) -> str:
     chosen = content_lines(lines)
     in_article = any(x.article for x in lines)
     parents = parser.parents
-    weight = [0] * len(parents)  # of the content's text in each region
+    held = [0] * len(parents)  # lines of content in each region; 0 is the whole page
     for x, content in zip(lines, chosen.tolist(), strict=True):
-        if content and (x.article or not in_article):
-            weight[x.region] += len(x.text)
-    weight[0] = 0
+        held[x.region] += content and (x.article or not in_article)
     for k in range(len(parents) - 1, 0, -1):
-        if parents[k]:
-            weight[parents[k]] += weight[k]
-    total = max(weight)
-    # The innermost region that holds nearly all of the content's text; an article isn't cut any smaller.
-    best = max((k for k, w in enumerate(weight) if w and w >= 0.9 * total and not parser.inner[k]), default=0)
+        held[parents[k]] += held[k]
+    # The innermost region that holds all of the content; an article isn't cut any smaller.
+    best = max((k for k, n in enumerate(held) if n and n == held[0] and not parser.inner[k]), default=0)
     inside = [not best] * len(parents)
     for k in range(1, len(parents)):
         inside[k] = k == best or inside[parents[k]]
-    kept = [x.text for x in lines if inside[x.region] and (in_article or 2 * x.linked <= len(x.text))]
+    kept = [x.text for x in lines if inside[x.region] and (x.article or not in_article)]
     return " ".join(kept)
 
 
