@@ -1,5 +1,6 @@
 """The pipeline against brute force, stage by stage and as a whole."""
 
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -50,6 +51,21 @@ def test_run(spark, sf_dir):
         assert at <= 2048
 
 
+def test_near_stage_keeps_documents_with_null_or_repeated_ids(spark, sf_dir):
+    def prose(seed):
+        rng = random.Random(seed)
+        return " ".join(f"w{rng.randrange(9973)}" for _ in range(400))
+
+    rows = [(None, prose(k)) for k in range(20)]
+    rows += [(None, prose(0) + " tail"), (3, prose(1) + " tail"), (7, prose(30)), (7, prose(31)), (7, prose(30) + " tail"), (9, prose(32))]
+    prints = [brute_fingerprint(t) for _, t in rows]
+    comp = components_of(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4])
+    assert len(set(comp)) == 23
+    out = corpus_pipeline.near(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir).collect()
+    kept = [comp[rows.index((r["doc_id"], r["text"]))] for r in out]
+    assert sorted(kept) == sorted(set(comp)) and (3, prose(1) + " tail") in [tuple(r) for r in out]
+
+
 def test_stages_keep_the_columns_and_take_awkward_tables(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     extra = docs.selectExpr("*", "1 AS copies", "'x' AS `key`", "2.0 AS target", "'y' AS lang_pred", "3 AS fp", "4 AS times", "5 AS k_doc", "6 AS m_key", "7 AS __rank", "8 AS __doc", "9 AS __key", "'z' AS __sha256", "1 AS __copy")

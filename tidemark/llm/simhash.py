@@ -152,6 +152,18 @@ def near_edges(prints: DataFrame, distance: int = 4, part_rows: int = PART_ROWS)
     return placed.groupBy("w").applyInPandas(compare, "a long, b long")
 
 
+def _linked(prints: DataFrame, distance: int, every: bool) -> DataFrame:
+    """``fp``, ``low`` (its smallest ``doc_id``) and ``root``, which is equal in a component.
+
+    A class of equal fingerprints is linked by its fingerprint, so no ids are mixed up;
+    unless ``every``, only classes that have a ``doc_id`` link.
+    """
+    classes = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    linking = classes if every else classes.where("low IS NOT NULL")
+    components = connected_components(near_edges(linking.select("fp", F.col("fp").alias("id")), distance))
+    return classes.join(components, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, key, fp, component_id``.
 
@@ -160,24 +172,27 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4) -> Dat
     ``doc_id`` reachable. Null and empty texts, and such without words, have fingerprint 0
     and are linked like any other; fewer words than a shingle count as one shingle. Equal
     fingerprints are joined before any comparison, so copies cost one row. Rows without a
-    ``doc_id`` link nothing themselves and get the component of their fingerprint.
+    ``doc_id`` link nothing themselves and get the component of their fingerprint. Rows
+    that share a ``doc_id`` alone aren't linked.
     """
     prints = checkpoint(fingerprints(docs, shingle))
-    classes = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("id")))
-    components = connected_components(near_edges(classes.where("id IS NOT NULL"), distance))
-    joined = classes.join(components, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return prints.join(joined, "fp").select("doc_id", "key", "fp", "component_id")
+    classes = checkpoint(_linked(prints, distance, every=False))
+    lows = classes.groupBy("root").agg(F.min("low").alias("component_id"))
+    return prints.join(classes.join(lows, "root"), "fp").select("doc_id", "key", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, distance: int = 4) -> DataFrame:
     """The rows of ``docs``, all columns, that stay: one document of each component.
 
-    That is the one with the component's id (of rows that share this id, one).
+    That is the one with the smallest ``doc_id`` (of rows that share this id, one). Here
+    rows without a ``doc_id`` link like any other; one of them stays where none has an id.
     """
-    found = near_duplicates(docs, distance)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("key").alias("k_key"))
+    prints = checkpoint(fingerprints(docs))
+    found = prints.join(_linked(prints, distance, every=True), "fp")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first")
+    kept = found.groupBy("root").agg(first).select("first.doc_id", "first.key")
     doc, key, rank, kept_doc, kept_key = (scratch_name(docs, x) for x in ("doc", "key", "rank", "kept_doc", "kept_key"))
-    kept = kept.select(F.col("component_id").alias(kept_doc), F.col("k_key").alias(kept_key))
+    kept = kept.select(F.col("doc_id").alias(kept_doc), F.col("key").alias(kept_key))
     marked = docs.withColumns({doc: F.col("doc_id").cast("long"), key: F.xxhash64("text")})
     same = F.col(doc).eqNullSafe(F.col(kept_doc)) & (F.col(key) == F.col(kept_key))
     one = Window.partitionBy(doc, key).orderBy(doc)
