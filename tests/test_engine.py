@@ -124,6 +124,18 @@ def test_wal_files(spark, tmp_path):
     assert logs.read_wal_files(spark, str(tmp_path)).count() == 2
 
 
+def test_wal_files_are_replayed_in_the_order_of_their_names(spark, tmp_path):
+    for k in range(6):
+        sets = [("SET", "name", f"v{k}"), ("SET", f"own{k}", "x")]
+        df = spark.createDataFrame(sets, "cmd string, key string, value string")
+        image = b"".join(bytes(r[0]) for r in df.select(codec.wal_record(F.col("cmd"), F.col("key"), F.col("value"))).collect())
+        (tmp_path / f"wal-{k}").write_bytes(image)
+    replayed = logs.read_wal_files(spark, str(tmp_path))
+    assert {r["value"]: r["log_id"] for r in replayed.where("key = 'name'").collect()} == {f"v{k}": k + 1 for k in range(6)}
+    state = changelog.snapshot(replayed.withColumn("seq", F.struct("log_id", "ordinal")))
+    assert {r["key"]: r["value"] for r in state.collect()} == {"name": "v5"} | {f"own{k}": "x" for k in range(6)}
+
+
 def test_table_file_golden(spark):
     entries = spark.createDataFrame([(0, "username", "john", False), (0, "score", None, True)], "segment_id long, key string, value string, tombstone boolean")
     data = b"".join(codec.encode_entry(k, v, t) for k, v, t in [(b"score", None, True), (b"username", b"john", False)])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.codec import decode_wal, split_frames
@@ -77,7 +77,8 @@ def read_wal(images: DataFrame, mode: str = "strict", order: str = "log_id", col
 
 
 def read_wal_files(spark: SparkSession, path: str, mode: str = "strict") -> DataFrame:
-    """Write-ahead log files of a folder; ``log_id`` is the order of their names."""
+    """Write-ahead log files of a folder; ``log_id`` is the rank of their names, compared as text."""
     files = spark.read.format("binaryFile").load(path)
-    ranked = files.select("content", F.xxhash64("path").alias("log_id"))
-    return read_wal(ranked, mode)
+    names = files.select("path").withColumn("name", F.element_at(F.split("path", "/"), -1))
+    ranked = names.select("path", F.row_number().over(Window.orderBy("name", "path")).cast("long").alias("log_id"))
+    return read_wal(files.select("path", "content").join(ranked, "path"), mode)
