@@ -2,10 +2,10 @@
 
 Suffixes are kept only where a content-selected minimiser stands: every window of
 ``min_words`` words keeps the position of its smallest seed (a short word n-gram, by
-hash), so equal windows keep equal suffixes. Sorted by their seeds, suffixes of different
-documents with one seed are neighbours. Those whose whole neighbourhood (all words of the
-windows they stand for) is equal match at once; for the others the match is extended left
-and right word by word: the windows left and right of the seed are compared one by one.
+hash), so equal windows keep equal suffixes. Grouping by hashes stands in for sorting the
+suffixes and extending neighbours: suffixes with one seed are grouped by the hash of their
+whole neighbourhood (all words of the windows they stand for), and those equal match at
+once; for the others, every window around the seed is hashed and grouped.
 """
 
 from __future__ import annotations
