@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import checkpoint, scratch_table
+
 #: The white space that the text contracts name: space and U+0009 to U+000D.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -17,32 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate results that all executors share.
-
-    It is the one that the cluster names in ``spark.checkpoint.dir``; only where
-    that is unset (as in tests) a temporary folder is taken.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-checkpoints-"))
-    return sc.getCheckpointDir()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint (for narrow tables)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def scratch_table(df: DataFrame, label: str) -> DataFrame:
-    """Write a wide intermediate as compressed Parquet to the shared folder and read it."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small_enough(df: DataFrame, row_bytes: int, limit_bytes: int = 8 << 20) -> DataFrame:
     """Mark a *materialised* side for broadcast only if its counted size allows that.
 
@@ -51,6 +24,22 @@ def small_enough(df: DataFrame, row_bytes: int, limit_bytes: int = 8 << 20) -> D
     return F.broadcast(df) if df.count() * row_bytes <= limit_bytes else df
 
 
+def row_ids(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``df`` as a table that reads alike each time, and the same with ``rid``, a row's place in it.
+
+    ``rid`` is (hash of the file's path, row in the file). A plain Parquet scan is taken as it
+    is; anything else is written to the shared folder first. Rows can then be chosen by narrow
+    tables of ids, repeated rows one by one.
+    """
+    plan = df._jdf.queryExecution().analyzed()
+    plain = plan.nodeName().startswith("LogicalRelation") or "Relation" in plan.nodeName()
+    if not plain or not df.inputFiles() or not df.inputFiles()[0].endswith(".parquet"):
+        df = scratch_table(df, "rows")
+    name = scratch_name(df, "rid")
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i"))
+    return df, df.withColumn(name, place)
+
+
 def scratch_name(df: DataFrame, stem: str) -> str:
     """A column name that no column of ``df`` has (compared without case)."""
     taken = {c.lower() for c in df.columns}
