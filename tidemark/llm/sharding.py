@@ -6,6 +6,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -14,31 +15,34 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import checkpoint, scratch_name, without
 
-#: numpy draws from populations below this; larger ones go by inversion.
-_NUMPY_LIMIT = 10**9
+#: Bits of a row's key in the second permutation.
+KEY_BITS = 62
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
-    """How many of ``draws`` without replacement are good."""
-    if good + bad < _NUMPY_LIMIT:
-        return int(rng.hypergeometric(good, bad, draws)) if draws else 0
+    """How many of ``draws`` without replacement are good, by inversion, one way for all sizes.
+
+    The probabilities are summed from ratios over the whole support, less the tails beyond
+    12 deviations and 64: those hold under 1e-28 of the mass, far below the 2**-53 steps of
+    the uniform number that is inverted. So memory and time grow with the deviation.
+    """
     lo, hi = max(0, draws - bad), min(good, draws)
+    if lo == hi:
+        return lo
     total = good + bad
     mean = draws * (good / total)
-    spread = 12 * math.sqrt(max(1.0, mean * (bad / total) * ((total - draws) / total))) + 64
-    a, b = max(lo, int(mean - spread)), min(hi, int(mean + spread))
+    spread = 12 * math.sqrt(mean * (bad / total) * ((total - draws) / total)) + 64
+    a, b = max(lo, int(mean - spread)), min(hi, int(mean + spread) + 1)
     k = np.arange(a, b, dtype=np.float64)
     # log of P(k + 1) / P(k), summed from the window's start
     steps = np.log((good - k) * (draws - k)) - np.log((k + 1) * (bad - draws + k + 1))
     logs = np.concatenate(([0.0], np.cumsum(steps)))
     weights = np.cumsum(np.exp(logs - logs.max()))
-    return a + int(np.searchsorted(weights, rng.random() * weights[-1], side="right"))
+    return min(b, a + int(np.searchsorted(weights, rng.random() * weights[-1], side="right")))
 
 
 def split_capacities(rng: np.random.Generator, capacities: np.ndarray, draws: int) -> np.ndarray:
     """A multivariate hypergeometric draw: of each capacity, what the first ``draws`` rows take."""
-    if int(capacities.sum()) < _NUMPY_LIMIT:
-        return rng.multivariate_hypergeometric(capacities, draws, method="marginals")
     out, rest = np.zeros_like(capacities), int(capacities.sum())
     for k, c in enumerate(capacities.tolist()):
         rest -= c
@@ -48,12 +52,12 @@ def split_capacities(rng: np.random.Generator, capacities: np.ndarray, draws: in
 
 
 def matrix_row(partition: int, before: np.ndarray, capacities: np.ndarray, seed: int) -> np.ndarray:
-    """Row ``partition`` of the communication matrix: how many of its rows go to each block.
+    """Row ``partition`` of the communication matrix: how many of its rows go to each shard.
 
     ``before``: rows before each partition, and all rows at the end. The partitions are
     halved again and again, and each halving splits what its range must fill by a draw
-    seeded by the range. So a task finds its own row alone, all rows agree, and every
-    column sums to the block's exact size.
+    seeded by the range. So a task finds its own row alone with one draw for each shard and
+    halving, all rows agree, and every column sums to the shard's exact size.
     """
     lo, hi, own = 0, len(before) - 1, capacities.copy()
     while hi - lo > 1:
@@ -68,20 +72,35 @@ def near_equal(total: int, parts: int) -> np.ndarray:
     return np.full(parts, total // parts, np.int64) + (np.arange(parts) < total % parts)
 
 
+def deal(partition: int, before: np.ndarray, capacities: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shard and the key of each row of a partition: the first permutation and the seed of the second."""
+    rng = np.random.default_rng([seed, 1, partition])
+    shards = rng.permutation(np.repeat(np.arange(len(capacities), dtype=np.int32), matrix_row(partition, before, capacities, seed)))
+    return shards, rng.integers(0, 1 << KEY_BITS, len(shards), dtype=np.int64)
+
+
+def key_blocks(keys: np.ndarray, blocks: int) -> np.ndarray:
+    """Which of the shard's ranges of keys each key is in."""
+    return (keys >> (KEY_BITS - 40)) * blocks >> 40
+
+
 def shard(docs: DataFrame, shards: int, seed: int = 20, block_rows: int = 1 << 16, materialised: bool = False) -> DataFrame:
     """Shuffle all rows uniformly into ``shards`` shards whose row counts differ by one at most.
 
     Adds ``law`` ('rows'), ``shard`` (from 0) and ``slot`` (the place in the shard, gapless
     from 0) to the columns of ``docs``, replacing columns of these names. Rows count one by
-    one: nulls, empty texts, ties and repeated rows are ordinary rows, and equal texts are
-    not held together (a uniform shuffle puts them anywhere). With fewer rows than shards
-    the last shards are empty; an empty table gives an empty result.
-
-    A shard is filled in blocks of about ``block_rows`` rows of exact sizes, so that the
-    second permutation never sorts more than a block in one task. The counts of the input's
-    partitions are the only thing that reaches the driver. ``materialised``: the frame is a
-    plain file scan, whose partitions come out alike each time; else it is checkpointed
-    first. A task that meets another number of rows than was counted fails.
+    one: nulls, empty and very long texts, ties and repeated rows are ordinary rows, and equal
+    texts are not held together (a uniform shuffle puts them anywhere). With fewer rows than
+    shards the last shards are empty; an empty table gives an empty result.
+
+    How many rows of each partition go to each shard is drawn exactly; the rows are dealt
+    by a local permutation and exchanged, and permuted again by sorting random keys. A
+    shard's keys are cut into even ranges of about ``block_rows`` rows, a task's work each;
+    how many rows a range holds is counted by drawing the keys again, without the rows.
+    The counts of the input's partitions are the only thing that reaches the driver.
+    ``materialised``: the frame is a plain file scan, whose partitions come out alike each
+    time; else it is checkpointed first. A task that meets another number of rows than was
+    counted fails.
     """
     docs = without(docs, "law", "shard", "slot")
     if not materialised:
@@ -93,34 +112,43 @@ def shard(docs: DataFrame, shards: int, seed: int = 20, block_rows: int = 1 << 1
     before = np.concatenate(([0], np.cumsum(sizes)))
     total = int(before[-1])
     blocks = max(1, math.ceil(total / (shards * block_rows)))
-    capacities = np.concatenate([near_equal(int(n), blocks) for n in near_equal(total, shards)])
-    block, key = scratch_name(docs, "block"), scratch_name(docs, "key")
-    names = [*docs.columns, block, key]
+    capacities = near_equal(total, shards)
+    to, block, key, earlier, s, b = (scratch_name(docs, x) for x in ("shard", "block", "key", "earlier", "s", "b"))
+    names = [*docs.columns, to, block, key]
 
     def permute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, at = TaskContext.get().partitionId(), 0
         size = int(sizes[p]) if p < len(sizes) else 0
-        goes_to = keys = None
-        if size:
-            rng = np.random.default_rng([seed, 1, p])
-            goes_to = rng.permutation(np.repeat(np.arange(len(capacities), dtype=np.int32), matrix_row(p, before, capacities, seed)))
-            keys = rng.integers(0, 1 << 62, size, dtype=np.int64)
+        goes_to, keys = deal(p, before, capacities, seed) if size else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        cut = key_blocks(keys, blocks).astype(np.int32)
         for b in batches:
             if at + b.num_rows > size:
                 raise RuntimeError(f"partition {p} has more than the {size} rows counted; pass materialised=False")
-            own = [pa.array(goes_to[at : at + b.num_rows]), pa.array(keys[at : at + b.num_rows])] if b.num_rows else [pa.array([], pa.int32()), pa.array([], pa.int64())]
+            own = [pa.array(x[at : at + b.num_rows]) for x in (goes_to, cut, keys)]
             at += b.num_rows
             yield pa.RecordBatch.from_arrays([*b.columns, *own], names=names)
         if at != size:
             raise RuntimeError(f"partition {p} has {at} rows, {size} were counted; pass materialised=False")
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(block, T.IntegerType()), T.StructField(key, T.LongType())])
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = np.zeros(shards * blocks, np.int64)
+        for b in batches:
+            for p in b["id"]:
+                goes_to, keys = deal(int(p), before, capacities, seed)
+                table += np.bincount(goes_to * np.int64(blocks) + key_blocks(keys, blocks), minlength=len(table))
+        at = np.flatnonzero(table)
+        yield pd.DataFrame({"s": (at // blocks).astype(np.int32), "b": (at % blocks).astype(np.int32), "n": table[at]})
+
+    spark = docs.sparkSession
+    tasks = max(1, math.ceil(math.sqrt(len(sizes))))  # a task's table has a number for each block, so tasks are few
+    redrawn = spark.range(0, len(sizes), 1, tasks).mapInPandas(count, "s int, b int, n long").groupBy("s", "b").agg(F.sum("n").alias("n"))
+    up_to = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = redrawn.select(F.col("s").alias(s), F.col("b").alias(b), F.coalesce(F.sum("n").over(up_to), F.lit(0)).alias(earlier))
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(to, T.IntegerType()), T.StructField(block, T.IntegerType()), T.StructField(key, T.LongType())])
     sent = docs.mapInArrow(permute, schema)
-    place = F.row_number().over(Window.partitionBy(block).orderBy(key)).cast("long") - 1
-    shard_of, j = (F.col(block) / blocks).cast("int"), F.col(block) % blocks
-    rows = F.lit(total // shards).cast("long") + F.when(shard_of < total % shards, 1).otherwise(0)
-    each = F.floor(rows / blocks)
-    start = j * each + F.least(j.cast("long"), rows - each * blocks)
-    return sent.select(
-        *[F.col(f"`{c}`") for c in docs.columns], F.lit("rows").alias("law"), shard_of.alias("shard"), (place + start).cast("long").alias("slot")
+    place = F.row_number().over(Window.partitionBy(to, block).orderBy(key)).cast("long") - 1
+    sorted_in_shard = sent.withColumn(key, place).join(starts, (F.col(to) == F.col(s)) & (F.col(block) == F.col(b)))
+    return sorted_in_shard.select(
+        *[F.col(f"`{c}`") for c in docs.columns], F.lit("rows").alias("law"), F.col(to).alias("shard"), (F.col(key) + F.col(earlier)).cast("long").alias("slot")
     )
