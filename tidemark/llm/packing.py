@@ -9,6 +9,7 @@ are rounded, and the documents, ranked within their class, are dealt to the patt
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,6 +25,10 @@ GRAIN = 8
 #: Documents that a task ranks at a time, about.
 RANK_ROWS = 1 << 13
 _encodings: dict[tuple[str, str], object] = {}
+#: Bytes of ids that a task hands on at a time, about.
+BATCH_BYTES = 4 << 20
+#: White space, as the pattern of the byte level means it, in runs too long for a pattern that looks back.
+_LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 
 
 def encoding(vocabulary: str, end_of_text: str = "<|endoftext|>"):
@@ -50,6 +55,24 @@ def encoding(vocabulary: str, end_of_text: str = "<|endoftext|>"):
     return _encodings[vocabulary, end_of_text]
 
 
+def encode(coder, text: str) -> np.ndarray:
+    """The ids of a text. Long runs of white space are encoded apart, with the same ids.
+
+    The pattern makes one word of a run up to its last character, which goes with what
+    follows, or of a whole run at the end of the text; nothing reaches across a run's start.
+    """
+    parts, at = [], 0
+    for run in _LONG_SPACE.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        if run.start() > at:
+            parts.append(coder.encode_to_numpy(text[at : run.start()], allowed_special="all"))
+        parts.append(np.array(coder._core_bpe.encode_single_piece(text[run.start() : end].encode()), np.uint32))
+        at = end
+    if at < len(text) or not parts:
+        parts.append(coder.encode_to_numpy(text[at:], allowed_special="all"))
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -220,39 +243,46 @@ class Dealer:
 def tokenise(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     """``doc_id, ids`` (little-endian 16-bit, the end id last) and their number ``n``."""
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoding(vocabulary)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part, ids, n = b.slice(at, 256), [], []
-                for t in part.column(1):
-                    own = coder.encode_to_numpy(t.as_py() or "", allowed_special="all")
-                    if len(own) and int(own.max()) >= 1 << 16:
-                        raise ValueError("the vocabulary has ids of more than 16 bits")
-                    ids.append(own.astype("<u2").tobytes() + end_id.to_bytes(2, "little"))
-                    n.append(len(own) + 1)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(n, pa.int64())], names=["doc_id", "ids", "n"])
+            first, ids, n, size = 0, [], [], 0
+            for k, t in enumerate(b.column(1)):
+                own = encode(coder, t.as_py() or "")
+                if len(own) and int(own.max()) >= 1 << 16:
+                    raise ValueError("the vocabulary has ids of more than 16 bits")
+                ids.append(own.astype("<u2").tobytes() + end_id.to_bytes(2, "little"))
+                n.append(len(own) + 1)
+                size += len(ids[-1])
+                if size >= BATCH_BYTES or k == b.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(n)), pa.array(ids, pa.binary()), pa.array(n, pa.int64())], names=["doc_id", "ids", "n"])
+                    first, ids, n, size = k + 1, [], [], 0
 
-    return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, ids binary, n long")
+    return docs.select("doc_id", "text").mapInArrow(read, "doc_id long, ids binary, n long")
 
 
 def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None, end_id: int = 1, grain: int = GRAIN, rank_rows: int = RANK_ROWS) -> DataFrame:
     """Pieces of all documents in sequences of at most ``capacity`` tokens.
 
-    Reads ``doc_id`` and ``text``. A null or empty text is the end id alone; repeated rows
-    are documents of their own; an empty table gives no piece. Returns a row for each piece:
-    ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids`` (the piece's ids,
-    little-endian 16-bit).
+    Reads ``doc_id`` and ``text``; other columns are left out. A null or empty text is the end
+    id alone; repeated rows and rows that share a ``doc_id`` are documents of their own; very
+    long texts are encoded whole, as are long runs of one character; an empty table gives no
+    piece. Returns a row for each piece: ``doc_id, start, length, ids_crc32, doc_tokens,
+    sequence_id, offset, ids`` (the piece's ids, little-endian 16-bit).
+
+    The documents get a row number in the table of their ids, which is written once, so the
+    order within a class is the same for every task that is run again, ties or not.
 
     Only the histogram of length classes (``capacity / grain`` numbers) reaches the driver.
     A document's rank in its class is its rank within a salt plus the class's count in the
     salts before, so a class with a third of all documents is ranked by many tasks.
     """
     vocabulary = vocabulary or default_vocabulary()
-    tokens = scratch_table(tokenise(ensure_columns(docs, doc_id="long", text="string"), vocabulary, end_id), "tokens")
+    tokens = tokenise(ensure_columns(docs, doc_id="long", text="string"), vocabulary, end_id)
+    tokens = scratch_table(tokens.withColumn("uid", F.monotonically_increasing_id()), "tokens")
     total = tokens.count()
     salts = max(1, math.ceil(total / rank_rows))
-    h = F.xxhash64(F.lit("pack"), "doc_id", "n")
+    h = F.xxhash64(F.lit("pack"), "doc_id", "n", "uid")
     rest = F.col("n") % capacity
     tokens = tokens.withColumns({"h": h, "salt": F.pmod(h, F.lit(salts)), "c": F.ceil(rest / grain).cast("int"), "full": F.floor(F.col("n") / capacity)})
     counts = tokens.groupBy("c", "salt").agg(F.count(F.lit(1)).alias("items"), F.sum("full").alias("fulls"))
@@ -264,7 +294,7 @@ def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None, e
     for c in sorted(histogram):
         full_base[c] = at
         at += histogram[c][1]
-    ranked = Window.partitionBy("c", "salt").orderBy("h", "doc_id", "n")
+    ranked = Window.partitionBy("c", "salt").orderBy("h", "uid")
     fulls = F.coalesce(F.sum("full").over(ranked.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = (
         tokens.withColumns({"rank": F.row_number().over(ranked) - 1, "fulls": fulls})
@@ -272,18 +302,27 @@ def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None, e
         .select("doc_id", "ids", "n", "c", (F.col("rank") + F.col("items_before")).cast("long").alias("rank"), (F.col("fulls") + F.col("fulls_before")).cast("long").alias("first_full"))
     )
 
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "place", "ids"]
+
+    def packed(out: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array(x, pa.binary() if k == 7 else pa.int64()) for k, x in enumerate(zip(*out, strict=True))]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
-            for doc, raw, n, c, rank, first_full in zip(*[x.to_pylist() for x in b.columns], strict=True):
+            for doc, raw, n, c, rank, first_full in zip(*[b.column(k) for k in range(6)], strict=True):
+                doc, raw, n, c, rank, first_full = (x.as_py() for x in (doc, raw, n, c, rank, first_full))
                 for start in range(0, n, capacity):
                     length = min(capacity, n - start)
                     own = raw[2 * start : 2 * (start + length)]
                     sequence, place = (full_base[c] + first_full + start // capacity, 0) if length == capacity else dealer.place(c, rank)
                     out.append((doc, start, length, zlib.crc32(np.frombuffer(own, "<u2").astype("<u4").tobytes()), n, sequence, place, own))
+                    if len(out) * 2 * capacity >= BATCH_BYTES:
+                        yield packed(out)
+                        out = []
             if out:
-                columns = [pa.array(x, pa.binary() if k == 7 else pa.int64()) for k, x in enumerate(zip(*out, strict=True))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "place", "ids"])
+                yield packed(out)
 
     pieces = placed.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, place long, ids binary")
     inside = Window.partitionBy("sequence_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
