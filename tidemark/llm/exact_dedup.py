@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE_CLASS, checkpoint, ensure_columns, scratch_name, scratch_table, small_enough
+from tidemark.llm.common import SPACE_CLASS, checkpoint, ensure_columns, row_ids, scratch_name, scratch_table, small_enough
 
 
 class CountingQuotientFilter:
@@ -67,18 +67,23 @@ class CountingQuotientFilter:
         return prints, counts
 
     def to_bytes(self) -> bytes:
-        head = np.array([self.width, self.q, len(self.slots)], np.int64).tobytes()
-        return head + b"".join(np.packbits(x).tobytes() for x in (self.occupied, self.runend, self.counter)) + self.slots.tobytes()
+        """A slot takes the bytes that its widest remainder or count needs."""
+        each = max(1, math.ceil(int(self.slots.max(initial=0)).bit_length() / 8))
+        head = np.array([self.width, self.q, len(self.slots), each], np.int64).tobytes()
+        narrow = np.ascontiguousarray(self.slots.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :each])
+        return head + b"".join(np.packbits(x).tobytes() for x in (self.occupied, self.runend, self.counter)) + narrow.tobytes()
 
     @classmethod
     def from_bytes(cls, raw: bytes) -> CountingQuotientFilter:
-        width, q, n = np.frombuffer(raw, np.int64, 3).tolist()
-        at, bits = 24, []
+        width, q, n, each = np.frombuffer(raw, np.int64, 4).tolist()
+        at, bits = 32, []
         for size in (1 << q, n, n):
             length = (size + 7) // 8
             bits.append(np.unpackbits(np.frombuffer(raw, np.uint8, length, at), count=size).astype(bool))
             at += length
-        return cls(width, q, *bits, np.frombuffer(raw, np.uint64, n, at))
+        slots = np.zeros((n, 8), np.uint8)
+        slots[:, :each] = np.frombuffer(raw, np.uint8, n * each, at).reshape(n, each)
+        return cls(width, q, *bits, slots.view("<u8").ravel().astype(np.uint64))
 
     @classmethod
     def merge(cls, filters: list[CountingQuotientFilter]) -> CountingQuotientFilter:
@@ -125,15 +130,18 @@ def _merge_filters(slice_bits: int):
     return merge
 
 
-def repeated_fingerprints(prints: DataFrame, slice_bits: int | None = None) -> DataFrame:
+#: Fingerprints of a slice, about; a merge holds one slice.
+SLICE_ROWS = 1 << 19
+
+
+def repeated_fingerprints(prints: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """``fp``, ``n`` for each value of the one long column that occurs more than once.
 
-    Slices number a power of two near the shuffle partitions, so a merge task holds
-    about the distinct fingerprints divided by that, 8 bytes each; a value with a
+    ``prints`` is materialised. The number of slices, a power of two, follows the rows, so a
+    merge holds about ``slice_rows`` fingerprints however many there are; a value with a
     third of all rows is one counter in each partition's filter.
     """
-    if slice_bits is None:
-        slice_bits = max(1, math.ceil(math.log2(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    slice_bits = max(1, math.ceil(math.log2(max(1, prints.count()) / slice_rows)))
     filters = prints.mapInArrow(_build_filters(slice_bits), "slice int, filter binary")
     return filters.groupBy("slice").applyInPandas(_merge_filters(slice_bits), "fp long, n long")
 
@@ -143,22 +151,11 @@ def normalised(text: str):
     return F.regexp_replace(F.coalesce(F.col(f"`{text}`"), F.lit("")), SPACE_CLASS + "+", "")
 
 
-def exact_duplicates(docs: DataFrame) -> DataFrame:
-    """One row for each row of ``docs``: which row of its group of equal texts stays.
-
-    Reads ``doc_id`` and ``text`` (other columns are ignored). Texts are equal if they
-    are identical without white space ([\\x20\\x09-\\x0D]); a null text counts as empty,
-    and all empty texts form one group. The row with the most code points stays, then
-    the one with the smallest ``doc_id`` (null last); of repeated rows with the same
-    ``doc_id`` exactly one stays. An empty table gives an empty result.
-
-    Returns ``doc_id, keep_id, group_size, kept, text_sha256``.
-    """
+def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs``: ``doc_id, text, rid`` (unique). Narrow rows, and the groups of equal texts with more than one row."""
     norm, size = normalised("text"), F.length(F.coalesce(F.col("text"), F.lit("")))
-    docs = ensure_columns(docs, doc_id="long", text="string")
     rows = checkpoint(
-        docs.select("doc_id", norm.alias("norm"), size.alias("size"))
-        .select("doc_id", "size", F.xxhash64("norm").alias("fp"), F.unhex(F.sha2("norm", 256)).alias("sha"), F.monotonically_increasing_id().alias("uid"))
+        docs.select("doc_id", "rid", norm.alias("norm"), size.alias("size")).select("doc_id", "rid", "size", F.xxhash64("norm").alias("fp"), F.unhex(F.sha2("norm", 256)).alias("sha"))
     )
     repeated = checkpoint(repeated_fingerprints(rows.select("fp")).select("fp"))
     repeated = small_enough(repeated, 16)
@@ -174,31 +171,47 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
         .groupBy("fp", "sha")
         .agg(F.sum("n").alias("group_size"), F.count(F.lit(1)).alias("texts"))
     )
-    rank = F.struct((-F.col("size")).alias("size"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")
+    rank = F.struct((-F.col("size")).alias("size"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")
     winners = rows.join(repeated, "fp", "left_semi").groupBy("fp", "sha").agg(F.min(rank).alias("keep"))
     groups = winners.join(bytes_equal, ["fp", "sha"]).select(
         "fp", "sha", "keep", F.when(F.col("texts") > 1, F.raise_error(F.lit("different texts with one SHA-256"))).otherwise(F.col("group_size")).alias("group_size")
     )
-    # Read back from a table, the groups have no partitioning of their own: both sides of this join are then shuffled
-    # for it, and adaptive execution can split a hot group's rows among tasks (or broadcast few groups).
-    out = rows.join(scratch_table(groups, "exact-groups"), ["fp", "sha"], "left")
+    # Read back from a table, the groups have no partitioning of their own: both sides of a join with them are then
+    # shuffled for it, and adaptive execution can split a hot group's rows among tasks (or broadcast few groups).
+    return rows, scratch_table(groups, "exact-groups")
+
+
+def exact_duplicates(docs: DataFrame) -> DataFrame:
+    """One row for each row of ``docs``: which row of its group of equal texts stays.
+
+    Reads ``doc_id`` and ``text`` (other columns are ignored). Texts are equal if they
+    are identical without white space ([\\x20\\x09-\\x0D]), whole, however long; a null text
+    counts as empty, and all empty texts form one group. The row with the most code points
+    stays, then the one with the smallest ``doc_id`` (null last); of repeated rows with the
+    same ``doc_id`` exactly one stays. An empty table gives an empty result.
+
+    Returns ``doc_id, keep_id, group_size, kept, text_sha256``.
+    """
+    rows, groups = _groups(ensure_columns(docs, doc_id="long", text="string").withColumn("rid", F.monotonically_increasing_id()))
+    out = rows.join(groups, ["fp", "sha"], "left")
     return out.select(
         "doc_id",
         F.when(F.col("keep").isNull(), F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        F.coalesce(F.col("keep.uid") == F.col("uid"), F.lit(True)).alias("kept"),
+        F.coalesce(F.col("keep.rid") == F.col("rid"), F.lit(True)).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that exact dedup keeps."""
-    from pyspark.sql import Window
-
-    kept = exact_duplicates(docs).where("kept").select("doc_id", "text_sha256").distinct()
-    sha, rank, key, k_doc, k_sha = (scratch_name(docs, x) for x in ("sha256", "rank", "doc", "kept_doc", "kept_sha256"))
-    marked = docs.withColumn(sha, F.sha2(normalised("text"), 256)).withColumn(key, F.col("doc_id").cast("long"))
-    kept = kept.select(F.col("doc_id").alias(k_doc), F.col("text_sha256").alias(k_sha))
-    joined = marked.join(kept, (F.col(sha) == F.col(k_sha)) & F.col(key).eqNullSafe(F.col(k_doc)), "left_semi")
-    one = Window.partitionBy(sha, key).orderBy(F.length(F.coalesce(F.col("text"), F.lit(""))).desc())
-    return joined.withColumn(rank, F.row_number().over(one)).where(F.col(rank) == 1).drop(sha, rank, key)
+    """The rows of ``docs``, with all their columns, that exact dedup keeps.
+
+    What goes is a narrow table of row ids: broadcast if it is small, else the one shuffle
+    of the texts.
+    """
+    stable, marked = row_ids(docs)
+    rid = marked.columns[-1]
+    rows, groups = _groups(marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(rid).alias("rid")))
+    gone = scratch_name(marked, "gone")
+    dropped = checkpoint(rows.join(groups, ["fp", "sha"]).where("rid <> keep.rid").select(F.col("rid").alias(gone)))
+    return marked.join(small_enough(dropped, 64), F.col(rid) == F.col(gone), "left_anti").select(*[F.col(f"`{c}`") for c in stable.columns])
