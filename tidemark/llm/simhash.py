@@ -10,10 +10,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import checkpoint, connected_components, ensure_columns, scratch_name
+from tidemark.llm.common import checkpoint, connected_components, ensure_columns, row_ids, scratch_name, small_enough
 from tidemark.llm.unions import Unions
 
 #: The reference fingerprints (pivots) of the distance table: drawn once, alike everywhere.
@@ -44,15 +45,16 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """``doc_id``, ``key`` (xxhash64 of the text) and ``fp`` (the fingerprint as a signed long)."""
-    docs = ensure_columns(docs, doc_id="long", text="string").select("doc_id", F.xxhash64("text").alias("key"), "text")
+    """``doc_id``, ``rid`` and ``fp`` (the fingerprint as a signed long) of ``doc_id, rid, text``."""
+    docs = docs.select("doc_id", "rid", "text")
+    schema = T.StructType([*docs.schema.fields[:2], T.StructField("fp", T.LongType())])
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             prints = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(2)), np.uint64, b.num_rows).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prints)], names=["doc_id", "key", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prints)], names=["doc_id", "rid", "fp"])
 
-    return docs.mapInArrow(compute, "doc_id long, key long, fp long")
+    return docs.mapInArrow(compute, schema)
 
 
 def block_masks(rows: int, distance: int, per_bucket: int = 1024) -> list[int]:
@@ -165,7 +167,7 @@ def _linked(prints: DataFrame, distance: int, every: bool) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:
-    """One row for each row of ``docs``: ``doc_id, key, fp, component_id``.
+    """One row for each row of ``docs``: ``doc_id, fp, component_id``.
 
     Reads ``doc_id`` and ``text``; other columns are ignored. Documents link if their
     fingerprints differ in ``distance`` bits at most; ``component_id`` is the smallest
@@ -175,10 +177,10 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4) -> Dat
     ``doc_id`` link nothing themselves and get the component of their fingerprint. Rows
     that share a ``doc_id`` alone aren't linked.
     """
-    prints = checkpoint(fingerprints(docs, shingle))
+    prints = checkpoint(fingerprints(ensure_columns(docs, doc_id="long", text="string").withColumn("rid", F.lit(0)), shingle))
     classes = checkpoint(_linked(prints, distance, every=False))
     lows = classes.groupBy("root").agg(F.min("low").alias("component_id"))
-    return prints.join(classes.join(lows, "root"), "fp").select("doc_id", "key", "fp", "component_id")
+    return prints.join(classes.join(lows, "root"), "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, distance: int = 4) -> DataFrame:
@@ -186,15 +188,15 @@ def drop_near_duplicates(docs: DataFrame, distance: int = 4) -> DataFrame:
 
     That is the one with the smallest ``doc_id`` (of rows that share this id, one). Here
     rows without a ``doc_id`` link like any other; one of them stays where none has an id.
+    What goes is a narrow table of row ids: broadcast if it is small, else the one shuffle
+    of the texts.
     """
-    prints = checkpoint(fingerprints(docs))
+    stable, marked = row_ids(docs)
+    rid = marked.columns[-1]
+    prints = checkpoint(fingerprints(marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(rid).alias("rid"), F.col("text").cast("string").alias("text"))))
     found = prints.join(_linked(prints, distance, every=True), "fp")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first")
-    kept = found.groupBy("root").agg(first).select("first.doc_id", "first.key")
-    doc, key, rank, kept_doc, kept_key = (scratch_name(docs, x) for x in ("doc", "key", "rank", "kept_doc", "kept_key"))
-    kept = kept.select(F.col("doc_id").alias(kept_doc), F.col("key").alias(kept_key))
-    marked = docs.withColumns({doc: F.col("doc_id").cast("long"), key: F.xxhash64("text")})
-    same = F.col(doc).eqNullSafe(F.col(kept_doc)) & (F.col(key) == F.col(kept_key))
-    one = Window.partitionBy(doc, key).orderBy(doc)
-    joined = marked.join(kept, same, "left_semi").withColumn(rank, F.row_number().over(one))
-    return joined.where(F.col(rank) == 1).drop(rank, doc, key)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("first")
+    kept = checkpoint(found.groupBy("root").agg(first).select("first.rid"))
+    gone = scratch_name(marked, "gone")
+    dropped = checkpoint(prints.join(kept, "rid", "left_anti").select(F.col("rid").alias(gone)))
+    return marked.join(small_enough(dropped, 64), F.col(rid) == F.col(gone), "left_anti").select(*[F.col(f"`{c}`") for c in stable.columns])
