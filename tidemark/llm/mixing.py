@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD_PATTERN, checkpoint, ensure_columns, scratch_name
+from tidemark.llm.common import WORD_PATTERN, checkpoint, ensure_columns, row_ids, scratch_name
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -53,7 +53,7 @@ def _settle(pair: Column) -> Column:
     to_a, to_b = pair["to_a"], pair["to_b"]
 
     def doc(x: Column, part: Column) -> Column:
-        return F.struct(x["h"].alias("h"), x["doc_id"].alias("doc_id"), x["key"].alias("key"), x["size"].alias("size"), part.cast("double").alias("part"))
+        return F.struct(x["h"].alias("h"), x["doc"].alias("doc"), x["size"].alias("size"), part.cast("double").alias("part"))
 
     def out(done: Column, rest: Column) -> Column:
         return F.struct(done.alias("done"), rest.alias("rest"))
@@ -106,29 +106,32 @@ def _tree(docs: Column, seed: int) -> Column:
     return F.aggregate(rounds, start, step)
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 5, fan_in: int = 128) -> DataFrame:
-    """How often each document is taken so that the sources come near their targets.
+#: Repeated rows that one step of their numbering makes at a time.
+REPEATS = 1 << 16
 
-    Reads ``doc_id``, ``text``, ``source``. A document's size is its number of words
-    (null text: 0). Each source has a ratio target / size; a document is taken
-    floor(ratio) times and once more for its share of the fraction. The fractions are
-    rounded by the pivotal method, weighted by words: a pair of documents exchanges copies
-    at random, words and expectations kept, until one is whole; the other goes on. Pairs
-    meet in a reduction tree: in groups of about ``fan_in``, then among the groups'
-    residuals, round after round, so that each source ends with one residual document
-    and misses its target by less than that document's size.
 
-    Null and empty texts have size 0 and no words to take (``copies`` is the whole part).
-    A null source is a source of its own, last in order; null doc_ids and repeated rows
-    are ordinary rows; an empty table gives an empty result. The draws are hashes of
-    ``doc_id``, text and ``seed``: reruns agree.
+def numbered(classes: DataFrame) -> DataFrame:
+    """A row for each of the ``m`` rows of a class, with ``nth`` from 0 to m - 1.
 
-    Returns ``doc_id, key`` (xxhash64 of the text), ``source, size, source_size, target,
-    copies, taken``.
+    Classes of one row go as they are; a class of many is first cut into ranges of
+    ``REPEATS`` rows, which are dealt to the tasks.
     """
-    docs = ensure_columns(docs, doc_id="long", text="string", source="string")
-    rows = checkpoint(docs.select("doc_id", "source", F.xxhash64("text").alias("key"), F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size")))
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+    single = classes.where("m = 1").withColumn("nth", F.lit(0).cast("long")).drop("m")
+    ranges = classes.where("m > 1").withColumn("range", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / REPEATS))))
+    ranges = ranges.repartition("h", "range")
+    start = F.col("range") * REPEATS
+    return single.unionByName(ranges.withColumn("nth", F.explode(F.sequence(start, F.least(start + REPEATS, F.col("m")) - 1))).drop("m", "range"))
+
+
+def _rounded(docs: DataFrame, weights: tuple[float, ...], share: float, cap: float, seed: int, fan_in: int) -> DataFrame:
+    """``doc`` (``doc_id, key, rid, nth``), ``source, size, source_size, target, copies`` for each row.
+
+    ``docs``: ``doc_id, text, source, rid``. ``rid`` is that of a row's class, the least
+    of rows that agree in everything read here.
+    """
+    sized = docs.select("doc_id", "source", "rid", F.xxhash64("text").alias("key"), F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"))
+    classes = checkpoint(sized.groupBy("source", "doc_id", "key", "size").agg(F.count(F.lit(1)).alias("m"), F.min("rid").alias("rid")))
+    sizes = classes.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.sum("m").alias("n"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     # A fraction within rounding error of 0 or 1 is a whole number of copies.
     plan = (
@@ -141,42 +144,73 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     )
     plan = checkpoint(plan)
     largest = plan.agg(F.max("n")).first()[0] or 0
+    rows = numbered(classes.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "key", "size")))
+    rows = rows.select("source", "size", F.struct("doc_id", "key", "rid", "nth").alias("doc"), F.xxhash64("h", "nth").alias("h"))
     placed = rows.join(plan, F.col("source").eqNullSafe(F.col("s")))
-    settled = [placed.where((F.col("size") == 0) | (F.col("part") == 0)).select("source", "doc_id", "key", "size", F.lit(0.0).alias("part"))]
-    open_rows = placed.where((F.col("size") > 0) & (F.col("part") > 0)).select("source", F.xxhash64(F.lit(seed), "doc_id", "key", "size").alias("h"), "doc_id", "key", "size", "part", "groups")
+    settled = [placed.where((F.col("size") == 0) | (F.col("part") == 0)).select("source", "doc", "size", F.lit(0.0).alias("part"))]
+    open_rows = placed.where((F.col("size") > 0) & (F.col("part") > 0)).select("source", "h", "doc", "size", "part", "groups")
     left, level = largest, 0
     while left > 0:
         level += 1
         group = F.pmod(F.xxhash64(F.lit(seed + level), "h"), F.col("groups").cast("long"))
-        grouped = open_rows.groupBy("source", group.alias("g"), "groups").agg(F.array_sort(F.collect_list(F.struct("h", "doc_id", "key", F.col("size").cast("long").alias("size"), "part"))).alias("docs"))
+        grouped = open_rows.groupBy("source", group.alias("g"), "groups").agg(F.array_sort(F.collect_list(F.struct("h", "doc", F.col("size").cast("long").alias("size"), "part"))).alias("docs"))
         tree = checkpoint(grouped.select("source", "groups", _tree(F.col("docs"), seed + level).alias("t")))
-        settled.append(tree.select("source", F.explode("t.done").alias("d")).select("source", "d.doc_id", "d.key", "d.size", "d.part"))
+        settled.append(tree.select("source", F.explode("t.done").alias("d")).select("source", "d.doc", "d.size", "d.part"))
         open_rows = tree.select("source", "groups", F.explode("t.rest").alias("d")).select("source", "d.*", F.ceil(F.col("groups") / fan_in).alias("groups"))
         if left <= fan_in:
             break
         left = math.ceil(left / fan_in)
     last = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "h"), 11).cast("double") * F.lit(2.0**-53)
-    settled.append(open_rows.select("source", "doc_id", "key", "size", F.when(last < F.col("part"), 1.0).otherwise(0.0).alias("part")))
+    settled.append(open_rows.select("source", "doc", "size", F.when(last < F.col("part"), 1.0).otherwise(0.0).alias("part")))
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)
     copies = (F.col("whole") + F.col("part").cast("long")).cast("long")
     out = out.join(plan.select("s", "source_size", "target", "whole"), F.col("source").eqNullSafe(F.col("s")))
-    return out.select("doc_id", "key", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select("doc", "source", "size", "source_size", "target", copies.alias("copies"))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 5, fan_in: int = 128) -> DataFrame:
+    """How often each document is taken so that the sources come near their targets.
+
+    Reads ``doc_id``, ``text``, ``source``; other columns are ignored. A document's size is
+    its number of words (null text: 0). Each source has a ratio target / size; a document is
+    taken floor(ratio) times and once more for its share of the fraction. The fractions are
+    rounded by the pivotal method, weighted by words: a pair of documents exchanges copies
+    at random, words and expectations kept, until one is whole; the other goes on. Pairs
+    meet in a reduction tree: in groups of about ``fan_in``, then among the groups'
+    residuals, round after round, so that each source ends with one residual document
+    and misses its target by less than that document's size.
+
+    Null and empty texts have size 0 and no words to take (``copies`` is the whole part).
+    A null source is a source of its own, last in order; null doc_ids are ordinary rows;
+    very long texts are counted whole; an empty table gives an empty result. Repeated rows
+    (and ties in ``doc_id``, text and source) are counted before the shuffle and numbered, so
+    that they spread over the groups like any others. The draws are hashes of ``doc_id``,
+    text, that number and ``seed``: reruns agree, however the table is cut. The sources'
+    targets are found in one task, with a narrow row for each source.
+
+    Returns ``doc_id, key`` (xxhash64 of the text), ``source, size, source_size, target,
+    copies, taken``.
+    """
+    read = ensure_columns(docs, doc_id="long", text="string", source="string").withColumn("rid", F.lit(None).cast("long"))
+    out = _rounded(read, weights, share, cap, seed, fan_in)
+    return out.select("doc.doc_id", "doc.key", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def take_mix(docs: DataFrame, **settings) -> DataFrame:
+def take_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 5, fan_in: int = 128) -> DataFrame:
     """The rows of ``docs`` with all their columns, each as often as the mix takes it.
 
-    Rows that agree in ``doc_id``, ``text`` and ``source`` count as one document taken as
-    often as all of them together. Documents without words are never taken.
+    Rows that agree in ``doc_id``, ``text`` and ``source`` count as one document, which the
+    first of them stands for and which is taken as often as all of them together. Documents
+    without words are never taken.
     """
-    taken = mix(docs, **settings).where("size > 0 AND copies > 0").groupBy("doc_id", "key", "source").agg(F.sum("copies").cast("int").alias("times"))
-    doc, key, source, rank, copy = (scratch_name(docs, x) for x in ("doc", "key", "source", "rank", "copy"))
-    mix_doc, mix_key, mix_source, times = (scratch_name(docs, x) for x in ("mix_doc", "mix_key", "mix_source", "times"))
-    taken = taken.select(F.col("doc_id").alias(mix_doc), F.col("key").alias(mix_key), F.col("source").alias(mix_source), F.col("times").alias(times))
-    marked = docs.withColumns({doc: F.col("doc_id").cast("long"), key: F.xxhash64("text"), source: F.col("source").cast("string")})
-    one = Window.partitionBy(doc, key, source).orderBy(doc)
-    marked = marked.withColumn(rank, F.row_number().over(one)).where(F.col(rank) == 1)
-    same = F.col(doc).eqNullSafe(F.col(mix_doc)) & (F.col(key) == F.col(mix_key)) & F.col(source).eqNullSafe(F.col(mix_source))
-    return marked.join(taken, same).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    stable, marked = row_ids(docs)
+    rid = marked.columns[-1]
+    read = marked.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in (("doc_id", "long"), ("text", "string"), ("source", "string"))], F.col(rid).alias("rid"))
+    taken = _rounded(read, weights, share, cap, seed, fan_in).where("size > 0 AND copies > 0")
+    chosen, times, copy = (scratch_name(marked, x) for x in ("chosen", "times", "copy"))
+    taken = checkpoint(taken.groupBy(F.col("doc.rid").alias(chosen)).agg(F.sum("copies").alias(times)))
+    # Most rows are taken, so this is a join of two large tables at any size.
+    joined = marked.hint("shuffle_merge").join(taken, F.col(rid) == F.col(chosen))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*[F.col(f"`{c}`") for c in stable.columns])
