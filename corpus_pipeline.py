@@ -6,17 +6,17 @@ Parquet and read again as the next one's ``docs``.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.common import shared_dir, table
+from tidemark.llm.common import table
 from tidemark.llm.exact_dedup import drop_exact_duplicates
 from tidemark.llm.language_id import keep_identified
 from tidemark.llm.mixing import take_mix
 from tidemark.llm.packing import pack
 from tidemark.llm.simhash import drop_near_duplicates
+from tidemark.sources.scratch import delete, scratch_path, scratch_scope
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,9 +57,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        path = scratch_path(spark, f"pipeline-{name}")
+        with scratch_scope(spark):  # what a stage leaves behind goes when its result is written
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before is not None:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
