@@ -23,6 +23,15 @@ def read_u32(raw: Column, at: int = 1) -> Column:
     return F.conv(F.hex(F.substring(raw, at, 4)), 16, 10).cast("long")
 
 
+def u64(n: Column) -> Column:
+    """An integer as eight bytes, big-endian."""
+    return F.unhex(F.lpad(F.hex(n.cast("long")), 16, "0"))
+
+
+def read_u64(raw: Column, at: int = 1) -> Column:
+    return F.conv(F.hex(F.substring(raw, at, 8)), 16, -10).cast("long")
+
+
 def frame(payload: Column) -> Column:
     """A length-prefixed frame of the wire protocol."""
     return F.concat(u32(F.octet_length(payload)), payload.cast("binary"))

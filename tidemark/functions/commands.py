@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Fixed replies of the protocol.
 OK, NOT_FOUND, BAD_REQUEST = "OK", "NOT_FOUND", "ERROR: bad request"
+#: Fixed replies to a SET or DELETE whose log record, and to a SET whose entry, could not be written.
+LOG_FAILED, SET_FAILED = "ERROR: failed to write WAL", "ERROR: failed to set key"
 #: Bytes that the write accounting adds for each SET or DELETE.
 ENTRY_OVERHEAD = 64
 
@@ -57,6 +59,14 @@ def written_bytes(cmd: Column, key: Column, value: Column) -> Column:
     return F.when(cmd == "SET", size + F.octet_length(value)).when(cmd == "DELETE", size).otherwise(0).cast("long")
 
 
-def reply(cmd: Column, found: Column) -> Column:
-    """The reply to a command; ``found``: the value that a GET sees (null or empty: none)."""
-    return F.when(cmd.isNull(), BAD_REQUEST).when(cmd == "GET", F.coalesce(F.nullif(found, F.lit("")), F.lit(NOT_FOUND))).otherwise(OK)
+def reply(cmd: Column, found: Column, logged: Column | None = None, stored: Column | None = None) -> Column:
+    """The reply to a command; ``found``: the value that a GET sees (null or empty: none).
+
+    ``logged`` and ``stored`` tell of a write whether its log record and its entry were written; not given: they were.
+    """
+    out = F.when(cmd.isNull(), BAD_REQUEST).when(cmd == "GET", F.coalesce(F.nullif(found, F.lit("")), F.lit(NOT_FOUND)))
+    if logged is not None:
+        out = out.when(~logged, LOG_FAILED)
+    if stored is not None:
+        out = out.when((cmd == "SET") & ~stored, SET_FAILED)
+    return out.otherwise(OK)

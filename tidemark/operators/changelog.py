@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.commands import reply
+from tidemark.functions.commands import ENTRY_OVERHEAD, reply
 
 _BEFORE = (Window.unboundedPreceding, -1)
 
@@ -39,15 +39,25 @@ def live_count(parsed: DataFrame) -> DataFrame:
     return last_mutations(parsed).where(~F.col("tombstone")).agg(F.count(F.lit(1)).alias("live_keys"))
 
 
-def responses(parsed: DataFrame) -> DataFrame:
+#: Commands of a key are ordered in chunks of this many sequence numbers (a power of two), so a hot key is many tasks' work.
+CHUNK_BITS = 20
+
+
+def responses(parsed: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataFrame:
     """``seq, response`` of every command, documented semantics: an as-of lookup by window.
 
-    Rejected commands have no key and need no order; they stay out of the window, where
+    The window is over a key's commands in one chunk of the log; what the chunks before say
+    of the key is a row for each key and chunk, carried forward by a window over those rows.
+    Rejected commands have no key and need no order; they stay out of the windows, where
     they would be one hot partition.
     """
-    valid = parsed.where("valid")
-    seen = F.last(F.when(F.col("cmd") != "GET", F.col("value")), ignorenulls=True).over(Window.partitionBy("key").orderBy("seq").rowsBetween(*_BEFORE))
-    answered = valid.withColumn("found", seen).select("seq", reply(F.col("cmd"), F.col("found")).alias("response"))
+    valid = parsed.where("valid").withColumn("chunk", F.shiftright("seq", chunk_bits))
+    change = F.when(F.col("cmd") != "GET", F.struct("seq", "value"))
+    closing = valid.groupBy("key", "chunk").agg(F.max(change).alias("closing"))
+    carried = F.last("closing", ignorenulls=True).over(Window.partitionBy("key").orderBy("chunk").rowsBetween(*_BEFORE))
+    seen = F.last(F.when(F.col("cmd") != "GET", F.col("value")), ignorenulls=True).over(Window.partitionBy("key", "chunk").orderBy("seq").rowsBetween(*_BEFORE))
+    ops = valid.withColumn("seen", seen).join(closing.select("key", "chunk", carried.alias("carried")), ["key", "chunk"])
+    answered = ops.select("seq", reply(F.col("cmd"), F.coalesce("seen", "carried.value")).alias("response"))
     return answered.unionByName(parsed.where(~F.col("valid")).select("seq", reply(F.col("cmd"), F.lit(None).cast("string")).alias("response")))
 
 
@@ -76,29 +86,35 @@ def snapshot_observed(ops: DataFrame) -> DataFrame:
 def responses_observed(parsed: DataFrame, segments: DataFrame) -> DataFrame:
     """``seq, response`` under observed semantics; ``segments``: ``seq, segment_id``.
 
-    One window over a key's commands in order gives all of it: what the open segment says,
-    if it has a SET of the key before the command; else what the newest earlier segment with
-    an entry says. A segment's entry is carried forward by marking its last command.
+    What the open segment says, if it has a SET of the key before the command, comes from a
+    window over the key's commands in the segment; else the newest earlier segment with an
+    entry decides, which is carried forward over a row for each key and segment.
     """
     ops = parsed.where("valid").join(segments, "seq")
-    in_segment = Window.partitionBy("key", "segment_id").orderBy("seq")
     change = F.when(F.col("cmd") != "GET", F.col("value"))
-    ops = ops.withColumns(
-        {
-            "open_sets": F.coalesce(F.sum((F.col("cmd") == "SET").cast("int")).over(in_segment.rowsBetween(*_BEFORE)), F.lit(0)),
-            "open_value": F.last(change, ignorenulls=True).over(in_segment.rowsBetween(*_BEFORE)),
-            "sets": F.sum((F.col("cmd") == "SET").cast("int")).over(in_segment.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
-            "closing": F.last(change, ignorenulls=True).over(in_segment.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
-        }
-    )
-    # Rows of one segment are peers in the range frame, so it ends with the segment before.
-    earlier = Window.partitionBy("key").orderBy("segment_id").rangeBetween(Window.unboundedPreceding, -1)
-    ops = ops.withColumn("stored", F.last(F.when(F.col("sets") > 0, F.col("closing")), ignorenulls=True).over(earlier))
-    found = F.when(F.col("open_sets") > 0, F.col("open_value")).otherwise(F.col("stored"))
-    answered = ops.select("seq", reply(F.col("cmd"), found).alias("response"))
+    before = Window.partitionBy("key", "segment_id").orderBy("seq").rowsBetween(*_BEFORE)
+    last = F.max(F.when(F.col("cmd") != "GET", F.struct("seq", "value")))
+    closing = ops.groupBy("key", "segment_id").agg(F.when(F.max(F.col("cmd") == "SET"), last).alias("closing"))
+    stored = F.last("closing", ignorenulls=True).over(Window.partitionBy("key").orderBy("segment_id").rowsBetween(*_BEFORE))
+    opened = ops.withColumns({"open_sets": F.coalesce(F.sum((F.col("cmd") == "SET").cast("int")).over(before), F.lit(0)), "open_value": F.last(change, ignorenulls=True).over(before)})
+    opened = opened.join(closing.select("key", "segment_id", stored.alias("stored")), ["key", "segment_id"])
+    found = F.when(F.col("open_sets") > 0, F.col("open_value")).otherwise(F.col("stored.value"))
+    answered = opened.select("seq", reply(F.col("cmd"), found).alias("response"))
     return answered.unionByName(parsed.where(~F.col("valid")).select("seq", reply(F.col("cmd"), F.lit(None).cast("string")).alias("response")))
 
 
+def recovered_bytes(replayed: DataFrame) -> DataFrame:
+    """``log_id, bytes``: what replaying a log adds to the write counter. Replayed DELETEs add nothing, unlike live ones."""
+    own = F.when(F.col("cmd") == "SET", F.octet_length("key") + F.octet_length("value") + ENTRY_OVERHEAD).otherwise(0)
+    return replayed.groupBy("log_id").agg(F.sum(own.cast("long")).alias("bytes"))
+
+
+def entries_size(entries: DataFrame) -> DataFrame:
+    """``n, bytes`` that entries (``key, value``) take in memory, each counted once."""
+    size = F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0)) + ENTRY_OVERHEAD
+    return entries.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("bytes"))
+
+
 def get(parsed: DataFrame, key: str | Column) -> DataFrame:
     """One key now: the filter is pushed below the aggregate to the scan."""
     own = last_mutations(parsed.where(F.col("key") == key))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -12,30 +13,56 @@ from pyspark.sql import functions as F
 from tidemark.functions.codec import frame, unframe, wal_record
 from tidemark.functions.hashing import Bloom
 from tidemark.operators import changelog, layout, segments
-from tidemark.sources.logs import event_commands, parsed_events, read_wal
-from tidemark.streaming.state import run_to_table, stream_folder
+from tidemark.sources import sst
+from tidemark.sources.logs import event_commands, parsed_events, read_wal, read_wal_files, write_images
+from tidemark.sources.scratch import scratch_path
+from tidemark.sources.store import SegmentStore
+from tidemark.streaming.state import run_to_table, stored_state, stream_folder
 
 #: The queries' flush threshold: the tables' logs are too small for the default of 4 MiB.
 FLUSH = 16384
 
 
-def _placed(parsed: DataFrame) -> DataFrame:
-    return segments.segments(parsed, FLUSH)
+@dataclass
+class Log:
+    """The canonical command log, parsed and cut into segments once for all that a query asks of it."""
 
+    parsed: DataFrame
+    placed: DataFrame
 
-def _ops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = parsed_events(spark, sf_dir)
-    return parsed.where("valid").join(_placed(parsed), "seq")
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str) -> Log:
+        parsed = parsed_events(spark, sf_dir)
+        return cls(parsed, segments.segments(parsed, FLUSH))
 
+    @property
+    def ops(self) -> DataFrame:
+        return self.parsed.where("valid").join(self.placed, "seq")
 
-def _table(spark: SparkSession, sf_dir: str, final_flush: bool) -> DataFrame:
-    parsed = parsed_events(spark, sf_dir)
-    return segments.segment_table(parsed, _placed(parsed), FLUSH, final_flush)
+    def table(self, final_flush: bool) -> DataFrame:
+        return segments.segment_table(self.parsed, self.placed, FLUSH, final_flush)
 
+    @property
+    def entries(self) -> DataFrame:
+        """Entries of all segments after shutdown (which flushes the last one)."""
+        return changelog.segment_entries(self.ops)
 
-def _flushed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries of all segments after shutdown (which flushes the last one)."""
-    return changelog.segment_entries(_ops(spark, sf_dir))
+    @property
+    def layout(self) -> DataFrame:
+        return layout.entry_layout(self.entries)
+
+    @property
+    def probes(self) -> DataFrame:
+        """Every GET, in the newest segment flushed before it."""
+        gets = self.ops.where("cmd = 'GET' AND segment_id > 0")
+        return gets.select(F.col("seq").alias("probe_id"), (F.col("segment_id") - 1).alias("segment_id"), "key")
+
+    @property
+    def wal_images(self) -> DataFrame:
+        """The write-ahead log of each segment, which its flush would truncate."""
+        record = F.hex(wal_record(F.col("cmd"), F.col("key"), F.col("value")))
+        records = changelog.mutations(self.ops).groupBy("segment_id").agg(F.array_sort(F.collect_list(F.struct("seq", record.alias("r")))).alias("rs"))
+        return records.select(F.col("segment_id").alias("log_id"), F.unhex(F.array_join(F.transform("rs", lambda x: x["r"]), "")).alias("content"))
 
 
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,53 +115,64 @@ def kv_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mem_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _placed(parsed_events(spark, sf_dir)).select("seq", "mem_bytes")
+    return Log.of(spark, sf_dir).placed.select("seq", "mem_bytes")
 
 
 def kv_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, False)
+    return Log.of(spark, sf_dir).table(False)
 
 
 def memtable_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of the segment that no flush has closed."""
-    open_one = _table(spark, sf_dir, False).where("NOT flushed").select("segment_id")
-    entries = _flushed_entries(spark, sf_dir).join(open_one, "segment_id", "left_semi")
+    log = Log.of(spark, sf_dir)
+    entries = log.entries.join(log.table(False).where("NOT flushed").select("segment_id"), "segment_id", "left_semi")
     return entries.select("key", "value", "tombstone").orderBy("key")
 
 
+def memtable_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of the open segment and the memory they take, each counted once."""
+    return changelog.entries_size(memtable_snapshot(spark, sf_dir))
+
+
 def sst_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flushed_entries(spark, sf_dir)
+    return Log.of(spark, sf_dir).entries
 
 
 def kv_responses_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = parsed_events(spark, sf_dir)
-    return changelog.responses_observed(parsed, _placed(parsed).select("seq", "segment_id"))
+    log = Log.of(spark, sf_dir)
+    return changelog.responses_observed(log.parsed, log.placed.select("seq", "segment_id"))
 
 
 def kv_snapshot_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return changelog.snapshot_observed(_ops(spark, sf_dir))
+    return changelog.snapshot_observed(Log.of(spark, sf_dir).ops)
 
 
 def level_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments.level_layout(_table(spark, sf_dir, False))
+    return segments.level_layout(Log.of(spark, sf_dir).table(False))
+
+
+def table_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of each level after the last flush."""
+    last = level_layout(spark, sf_dir).agg(F.max(F.struct("segment_id", "l0_files", "l1_files")).alias("f")).select("f.*")
+    return last.select(F.col("l0_files").cast("long").alias("l0_files"), "l1_files", (F.col("l0_files") + F.col("l1_files")).cast("long").alias("tables"))
 
 
 def compaction_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return changelog.newest_entries(_flushed_entries(spark, sf_dir))
+    return changelog.newest_entries(Log.of(spark, sf_dir).entries)
 
 
 def read_path_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where a GET of each key that was ever looked up ends: memtable, L0, L1 or nowhere."""
-    parsed = parsed_events(spark, sf_dir)
-    keys = parsed.where("cmd = 'GET'").select("key").distinct()
-    newest = compaction_merge(spark, sf_dir).select("key", "segment_id", "tombstone")
-    places = level_layout(spark, sf_dir).select("segment_id", F.concat(F.lit("L"), F.col("level").cast("string")).alias("place"))
+    log = Log.of(spark, sf_dir)
+    keys = log.parsed.where("cmd = 'GET'").select("key").distinct()
+    newest = changelog.newest_entries(log.entries).select("key", "segment_id", "tombstone")
+    places = segments.level_layout(log.table(False)).select("segment_id", F.concat(F.lit("L"), F.col("level").cast("string")).alias("place"))
     found = newest.join(places, "segment_id", "left").select("key", "segment_id", "tombstone", F.coalesce("place", F.lit("memtable")).alias("place"))
     return keys.join(found, "key", "left").select("key", F.coalesce("place", F.lit("none")).alias("place"), "segment_id", F.coalesce("tombstone", F.lit(False)).alias("tombstone"))
 
 
 def sst_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.entry_layout(_flushed_entries(spark, sf_dir))
+    return Log.of(spark, sf_dir).layout
 
 
 def sst_sparse_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,22 +183,18 @@ def sst_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.metadata(sst_layout(spark, sf_dir))
 
 
-def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every GET, in the newest segment flushed before it."""
-    gets = _ops(spark, sf_dir).where("cmd = 'GET' AND segment_id > 0")
-    return gets.select(F.col("seq").alias("probe_id"), (F.col("segment_id") - 1).alias("segment_id"), "key")
-
-
 def sparse_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.sparse_seek(sst_sparse_index(spark, sf_dir), _probes(spark, sf_dir))
+    log = Log.of(spark, sf_dir)
+    return layout.sparse_seek(layout.sparse_index(log.layout), log.probes)
 
 
 def lookup_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.lookup_cost(sst_layout(spark, sf_dir), _probes(spark, sf_dir))
+    log = Log.of(spark, sf_dir)
+    return layout.lookup_cost(log.layout, log.probes)
 
 
 def bloom_params(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.bloom_parameters(_flushed_entries(spark, sf_dir))
+    return layout.bloom_parameters(Log.of(spark, sf_dir).entries)
 
 
 def bloom_no_false_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,7 +205,7 @@ def bloom_no_false_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
         bloom = Bloom.from_bytes(Bloom.build(keys).to_bytes())
         return pd.DataFrame({"segment_id": [g["segment_id"].iloc[0]], "n_keys": [len(keys)], "denied": [int(np.sum(~bloom.might_contain(keys)))]})
 
-    return _flushed_entries(spark, sf_dir).select("segment_id", "key").groupBy("segment_id").applyInPandas(probe, "segment_id long, n_keys long, denied long")
+    return Log.of(spark, sf_dir).entries.select("segment_id", "key").groupBy("segment_id").applyInPandas(probe, "segment_id long, n_keys long, denied long")
 
 
 def wal_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,36 +213,74 @@ def wal_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.select("seq", F.hex(wal_record(F.col("cmd"), F.col("key"), F.col("value"))).alias("record"))
 
 
-def _wal_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The write-ahead log of each segment, which its flush would truncate."""
-    ops = changelog.mutations(_ops(spark, sf_dir))
-    record = F.hex(wal_record(F.col("cmd"), F.col("key"), F.col("value")))
-    records = ops.groupBy("segment_id").agg(F.array_sort(F.collect_list(F.struct("seq", record.alias("r")))).alias("rs"))
-    return records.select(F.col("segment_id").alias("log_id"), F.unhex(F.array_join(F.transform("rs", lambda x: x["r"]), "")).alias("content"))
-
-
 def wal_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_wal(_wal_images(spark, sf_dir))
+    return read_wal(Log.of(spark, sf_dir).wal_images)
 
 
 def wal_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replay of all logs: the state that recovery arrives at."""
-    replayed = read_wal(_wal_images(spark, sf_dir)).withColumn("seq", F.struct("log_id", "ordinal"))
+    replayed = read_wal(Log.of(spark, sf_dir).wal_images).withColumn("seq", F.struct("log_id", "ordinal"))
     return changelog.snapshot(replayed)
 
 
+def wal_recover_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What replaying each log adds to the write counter."""
+    return changelog.recovered_bytes(read_wal(Log.of(spark, sf_dir).wal_images))
+
+
+def wal_files_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The logs written as files, found by their names and replayed in that order."""
+    folder = scratch_path(spark, "wal-files")
+    images = Log.of(spark, sf_dir).wal_images.withColumn("name", F.format_string("wal-%08d", "log_id"))
+    write_images(images, folder)
+    return changelog.snapshot(read_wal_files(spark, folder).withColumn("seq", F.struct("log_id", "ordinal")))
+
+
+def sst_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every segment as a table file and read back."""
+    return sst.read_tables(sst.table_images(Log.of(spark, sf_dir).entries)).drop("level")
+
+
+def sst_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What opening each table file tells."""
+    return sst.read_metadata(sst.table_images(Log.of(spark, sf_dir).entries, level=1))
+
+
+def sst_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every GET looked up in the table file of the segment flushed before it: filter, index, short scan."""
+    log = Log.of(spark, sf_dir)
+    return sst.lookups(sst.table_images(log.entries), log.probes)
+
+
+def store_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GET of every customer's key from a store of segment files."""
+    store = SegmentStore(spark, scratch_path(spark, "store"))
+    store.load(Log.of(spark, sf_dir).entries)
+    return store.multi_get(_customers(spark, sf_dir))
+
+
+def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of a stream of the events, read from its state store."""
+    folder = stream_folder(spark)
+    run_to_table(_event_stream(spark, sf_dir), folder)
+    return stored_state(spark, folder)
+
+
 def frame_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every command framed for the wire and read back."""
     commands = event_commands(spark.read.parquet(f"{sf_dir}/events.parquet"))
     return commands.select("seq", unframe(frame(F.col("raw"))).cast("string").alias("raw"))
 
 
-def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The snapshot kept up by a stream of the events."""
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     # A pattern, as the stream source takes a plain path for a folder and the table may be one file.
-    events = spark.readStream.schema(known).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/event[s].parquet")
-    return run_to_table(event_commands(events), stream_folder(spark))
+    return event_commands(spark.readStream.schema(known).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/event[s].parquet"))
+
+
+def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The snapshot kept up by a stream of the events."""
+    return run_to_table(_event_stream(spark, sf_dir), stream_folder(spark))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -216,6 +288,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         cmd_parse, cmd_reject_stats, kv_responses, kv_snapshot, kv_tombstones, kv_live_count, kv_get, kv_multi_get, kv_exists, kv_missing, kv_range_scan, mem_bytes, kv_segments,
         memtable_snapshot, sst_entries, kv_responses_observed, kv_snapshot_observed, level_layout, compaction_merge, read_path_trace, sst_layout, sst_sparse_index, sst_metadata,
         sparse_seek, lookup_cost, bloom_params, bloom_no_false_negative, wal_encode, wal_roundtrip, wal_recover, frame_roundtrip, stream_equals_batch,
+        memtable_size, table_count, wal_recover_bytes, wal_files_recover, sst_roundtrip, sst_open, sst_lookup, store_get, stream_state,
     )
     return {f.__name__: f for f in own}
 
@@ -347,5 +420,16 @@ def oracle_sql() -> dict[str, str]:
         "wal_recover": last("SELECT * FROM state"),
         "frame_roundtrip": log("SELECT seq, raw FROM log"),
         "stream_equals_batch": last("SELECT * FROM state"),
+        "memtable_size": segs("SELECT count(*) AS n, coalesce(sum(length(key) + coalesce(length(value), 0) + 64), 0)::BIGINT AS bytes FROM entries WHERE segment_id IN (SELECT segment_id FROM segs WHERE NOT flushed)"),
+        "table_count": segs("SELECT l0_files::BIGINT AS l0_files, l1_files, (l0_files + l1_files)::BIGINT AS tables FROM levels ORDER BY segment_id DESC LIMIT 1"),
+        "wal_recover_bytes": segs("SELECT segment_id AS log_id, sum(CASE WHEN cmd = 'SET' THEN length(key) + length(value) + 64 ELSE 0 END)::BIGINT AS bytes FROM ops WHERE cmd <> 'GET' GROUP BY segment_id"),
+        "wal_files_recover": last("SELECT * FROM state"),
+        "sst_roundtrip": segs("SELECT segment_id, key, value, tombstone FROM entries"),
+        "sst_open": segs("""SELECT segment_id, 1::INTEGER AS level, count(*) AS entry_count, (12 + sum(entry_size))::BIGINT AS data_end, count(*) FILTER (ordinal % 16 = 0) AS index_keys, min(key) AS min_key, max(key) AS max_key
+            FROM laid GROUP BY segment_id"""),
+        "sst_lookup": segs("SELECT segment_id, key, value, tombstone FROM entries SEMI JOIN probes USING (segment_id, key)"),
+        "store_get": segs(f"""SELECT c.key, CASE WHEN m.key IS NULL OR m.tombstone OR m.value = '' THEN 'NOT_FOUND' ELSE m.value END AS response
+            FROM ({_CUSTOMERS}) c LEFT JOIN merged m USING (key)"""),
+        "stream_state": last("SELECT key, seq, value, tombstone FROM last"),
     }
 

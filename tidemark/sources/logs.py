@@ -31,33 +31,56 @@ def parsed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse(event_commands(spark.read.parquet(f"{sf_dir}/events.parquet")))
 
 
+#: A command's place in its session is the low part of ``seq``, the session's number the high one.
+_SESSION_BITS = 32
+
+
+def _ranked_files(spark: SparkSession, path: str) -> DataFrame:
+    """Files of a folder (or one) with ``number``, the rank of their names from 0, compared as text."""
+    files = spark.read.format("binaryFile").load(path)
+    names = files.select("path").withColumn("name", F.element_at(F.split("path", "/"), -1))
+    ranked = names.select("path", (F.row_number().over(Window.orderBy("name", "path")) - 1).cast("long").alias("number"))  # a row for each file
+    return files.select("path", "content").join(ranked, "path")
+
+
 def read_script(spark: SparkSession, path: str) -> DataFrame:
-    """A script file as ``seq, raw``: a line is a command, empty lines are skipped, ``exit`` ends it.
+    """Script files as ``session, seq, raw``: a line is a command, empty lines are skipped, ``exit`` ends the script.
 
-    A script is one session, read by one task; the number of the line is the order.
+    A file is one session, read by one task; sessions come one after the other in the order
+    of the files' names. ``seq`` is the number of the line, beyond all of the sessions before.
     """
 
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for content in b["content"]:
+            for session, content in zip(b["number"], b["content"], strict=True):
                 text = [line.rstrip("\r") for line in bytes(content).decode("latin-1").split("\n")]
                 if "exit" in text:
                     text = text[: text.index("exit")]
-                rows = [(i + 1, line) for i, line in enumerate(text) if line]
-                yield pd.DataFrame(rows, columns=["seq", "raw"])
+                rows = [(session, (session << _SESSION_BITS) + i + 1, line) for i, line in enumerate(text) if line]
+                yield pd.DataFrame(rows, columns=["session", "seq", "raw"])
+
+    return _ranked_files(spark, path).select("number", "content").mapInPandas(lines, "session long, seq long, raw string")
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(lines, "seq long, raw string")
 
+def read_frames(df: DataFrame, column: str = "content", session: str | None = None) -> DataFrame:
+    """Captured streams of frames as ``session, seq, raw``; each row of the input is a stream of its own.
 
-def read_frames(df: DataFrame, column: str = "content") -> DataFrame:
-    """Captured streams of frames as ``seq, raw``; each row of the input is a stream of its own."""
+    ``session`` names a column of numbers, different for each row, in whose order the streams
+    follow each other; without it there may be one row only.
+    """
+    if session is None:
+        if df.count() > 1:
+            raise ValueError("several streams need a session column that orders them")
+        df = df.withColumn("session", F.lit(0).cast("long"))
+    streams = df.select(F.col(session or "session").cast("long").alias("session"), F.col(column).alias("content"))
 
     def frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for content in b[column]:
-                yield pd.DataFrame([(i + 1, p.decode("latin-1")) for i, p in enumerate(split_frames(bytes(content)))], columns=["seq", "raw"])
+            for s, content in zip(b["session"], b["content"], strict=True):
+                rows = [(s, (s << _SESSION_BITS) + i + 1, p.decode("latin-1")) for i, p in enumerate(split_frames(bytes(content)))]
+                yield pd.DataFrame(rows, columns=["session", "seq", "raw"])
 
-    return df.select(column).mapInPandas(frames, "seq long, raw string")
+    return streams.mapInPandas(frames, "session long, seq long, raw string")
 
 
 def read_wal(images: DataFrame, mode: str = "strict", order: str = "log_id", column: str = "content") -> DataFrame:
@@ -77,8 +100,31 @@ def read_wal(images: DataFrame, mode: str = "strict", order: str = "log_id", col
 
 
 def read_wal_files(spark: SparkSession, path: str, mode: str = "strict") -> DataFrame:
-    """Write-ahead log files of a folder; ``log_id`` is the rank of their names, compared as text."""
-    files = spark.read.format("binaryFile").load(path)
-    names = files.select("path").withColumn("name", F.element_at(F.split("path", "/"), -1))
-    ranked = names.select("path", F.row_number().over(Window.orderBy("name", "path")).cast("long").alias("log_id"))
-    return read_wal(files.select("path", "content").join(ranked, "path"), mode)
+    """Write-ahead log files of a folder; ``log_id`` is the rank of their names, compared as text, from 1."""
+    return read_wal(_ranked_files(spark, path).select((F.col("number") + 1).alias("log_id"), "content"), mode)
+
+
+def write_images(images: DataFrame, folder: str, name: str = "name", column: str = "content") -> None:
+    """Write each row's bytes as a file of ``folder``, which all executors share.
+
+    A file is written under another name and then moved, so a task that runs again leaves no half of one.
+    """
+    import uuid
+
+    from pyarrow import fs
+
+    scheme, colon, rest = folder.partition(":")
+    uri = f"file:///{(rest if colon else folder).lstrip('/')}" if not colon or scheme == "file" else folder.replace("s3a:", "s3:", 1)
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, root = fs.FileSystem.from_uri(uri)
+        at.create_dir(root)
+        for b in batches:
+            for n, content in zip(b[name], b[column], strict=True):
+                part = f"{root}/.{n}-{uuid.uuid4().hex}"
+                with at.open_output_stream(part) as f:
+                    f.write(bytes(content))
+                at.move(part, f"{root}/{n}")
+            yield pd.DataFrame({"n": [len(b)]})
+
+    images.select(name, column).mapInPandas(write, "n long").agg(F.sum("n")).collect()
