@@ -282,7 +282,8 @@ def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None, e
     tokens = scratch_table(tokens.withColumn("uid", F.monotonically_increasing_id()), "tokens")
     total = tokens.count()
     salts = max(1, math.ceil(total / rank_rows))
-    h = F.xxhash64(F.lit("pack"), "doc_id", "n", "uid")
+    # Copies that stand together stay together, up to 16 of them, which compresses well.
+    h = F.xxhash64(F.lit("pack"), "doc_id", "n", F.shiftright("uid", 4))
     rest = F.col("n") % capacity
     tokens = tokens.withColumns({"h": h, "salt": F.pmod(h, F.lit(salts)), "c": F.ceil(rest / grain).cast("int"), "full": F.floor(F.col("n") / capacity)})
     counts = tokens.groupBy("c", "salt").agg(F.count(F.lit(1)).alias("items"), F.sum("full").alias("fulls"))
