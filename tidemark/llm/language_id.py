@@ -25,6 +25,8 @@ FAMILIES = {
 FEATURES = 1 << 12
 #: The bound of the training sample: at most this many labelled documents of each language.
 SAMPLE_PER_LANGUAGE = 600
+#: The bound of the whole sample: with more languages than 16, each gets an even part of it (16 KiB a document on the driver).
+SAMPLE_TOTAL = 9600
 _CHUNK = 1 << 20
 _MAYBE_LETTER = re.compile(r"[^\W\d_]")  # also matches numerals such as ½, which are no letters
 _FOLD = np.arange(256, dtype=np.uint32)
@@ -53,19 +55,26 @@ def featurise(text: str) -> np.ndarray:
     return (out / max(1e-12, float(np.linalg.norm(out)))).astype(np.float32)
 
 
-def _fit_svm(x: np.ndarray, y: np.ndarray, rounds: int = 40, penalty: float = 1e-4, seed: int = 9) -> np.ndarray:
-    """A linear SVM (squared hinge, averaged stochastic steps); the last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float64)
-    w, rng = np.zeros(x.shape[1]), np.random.default_rng(seed)
-    total, steps = np.zeros_like(w), 0
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * len(y)
+def _fit_svm(x: np.ndarray, y: np.ndarray, rows: np.ndarray | None = None, rounds: int = 40, penalty: float = 1e-4, seed: int = 9) -> np.ndarray:
+    """A linear SVM (squared hinge, averaged stochastic steps) of some ``rows``; the last weight is the bias.
+
+    Only a step's rows are copied, so memory stays that of ``x``.
+    """
+    rows = np.arange(len(x)) if rows is None else rows
+    w, bias, rng = np.zeros(x.shape[1]), 0.0, np.random.default_rng(seed)
+    total, total_bias, steps = np.zeros_like(w), 0.0, 0
+    own = y[rows]
+    weight = np.where(own > 0, 0.5 / max(1, (own > 0).sum()), 0.5 / max(1, (own < 0).sum())) * len(own)
     for k in range(rounds):
-        for rows in np.array_split(rng.permutation(len(x)), max(1, len(x) // 64)):
-            slack = np.maximum(0.0, 1.0 - y[rows] * (x[rows] @ w))
-            w -= (2.0 / (1.0 + 0.1 * k)) * (penalty * w - (2.0 * slack * y[rows] * weight[rows]) @ x[rows] / len(rows))
+        rate = 2.0 / (1.0 + 0.1 * k)
+        for at in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 64)):
+            some = x[rows[at]].astype(np.float64)
+            pull = 2.0 * np.maximum(0.0, 1.0 - own[at] * (some @ w + bias)) * own[at] * weight[at] / len(at)
+            w -= rate * (penalty * w - pull @ some)
+            bias -= rate * (penalty * bias - pull.sum())
             if k >= rounds // 2:
-                total, steps = total + w, steps + 1
-    return total / max(1, steps)
+                total, total_bias, steps = total + w, total_bias + bias, steps + 1
+    return np.append(total, total_bias) / max(1, steps)
 
 
 @dataclass
@@ -89,8 +98,8 @@ class LanguageModel:
         for members in model.families.values():
             for i, a in enumerate(members):
                 for b in members[i + 1 :]:
-                    rows = (own == a) | (own == b)
-                    model.pair_weights[a, b] = _fit_svm(x[rows], np.where(own[rows] == a, 1.0, -1.0))
+                    rows = np.flatnonzero((own == a) | (own == b))
+                    model.pair_weights[a, b] = _fit_svm(x, np.where(own == a, 1.0, -1.0), rows)
         return model
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -125,8 +134,8 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, families: dict[str, str] = FAMILIES) -> LanguageModel:
-    """Fit on at most ``per_language`` labelled documents of each language.
+def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, families: dict[str, str] = FAMILIES, at_most: int = SAMPLE_TOTAL) -> LanguageModel:
+    """Fit on at most ``per_language`` labelled documents of each language and ``at_most`` of all (two of each at least).
 
     Reads ``doc_id, text, lang``; rows with a null label, without a letter in the text or in
     the held-out part are not learned from. The sample is the documents with the smallest
@@ -138,6 +147,7 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, families: di
     counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row for each language
     if not counts:
         return LanguageModel()
+    per_language = max(2, min(per_language, at_most // len(counts)))
     share = F.create_map(*[F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, min(1.0, (1.3 * per_language + 30) / n))])
     draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     first = Window.partitionBy("lang").orderBy("draw", "doc_id")
