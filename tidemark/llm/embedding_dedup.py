@@ -115,7 +115,7 @@ def _count_links(threshold: float):
 
 
 def near_duplicate_vectors(
-    vectors: DataFrame, threshold: float = 0.93, window: int = 64, passes: int | None = None, seed: int = 2, chunk_rows: int = 4096, block_rows: int = 1024, run_rows: int = 4096
+    vectors: DataFrame, threshold: float = 0.93, window: int = 64, passes: int | None = None, seed: int = 2, chunk_rows: int = 4096, block_rows: int = 256, run_rows: int = 4096, block_limit: int = 8192
 ) -> DataFrame:
     """One row for each vector: ``vec_id, n_links, component_id, kept``.
 
@@ -124,8 +124,10 @@ def near_duplicate_vectors(
     double precision. A vector that is null, empty, zero or has a null or non-finite
     component, one without a label and one without an id links with nothing: it is its own
     component with no links. Equal vectors of a label are joined first and compared once;
-    repeated rows are vectors of their own. ``n_links``: other vectors linked directly;
-    ``component_id``: the smallest vec_id reachable. An empty table gives an empty result.
+    repeated rows are vectors of their own; other columns are ignored. ``n_links``: other
+    vectors linked directly; ``component_id``: the smallest vec_id reachable. An empty table
+    gives an empty result. Exact counts inside a component of n different vectors take n * n
+    cosines, whatever the method; each vector is sent to n / ``block_limit`` blocks (at least 8).
     """
     finite = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & finite & F.exists("embedding", lambda x: x != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
@@ -165,7 +167,9 @@ def near_duplicate_vectors(
     crowd = crowd.select("pass", "label", "dim", "prefix", "id", "part", "x", "y", "w").join(classes.select("id", "embedding"), "id")
     found = found.unionByName(crowd.groupBy("w").applyInPandas(_compare_runs(threshold), "a long, b long"))
     components = checkpoint(connected_components(found))
-    sizes = components.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("g"))
+    # A component is cut into up to 8 parts of block_rows; a larger one into larger parts, so that a vector is sent to few blocks.
+    n = F.count(F.lit(1))
+    sizes = components.groupBy("component").agg(F.least(F.ceil(n / block_rows), F.greatest(F.lit(8), F.ceil(n / block_limit))).cast("int").alias("g"))
     members = components.join(sizes, "component").join(classes.select(F.col("id").alias("node"), "embedding", "m"), "node")
     members = members.withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "node"), F.col("g").cast("long")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     blocks = members.select("component", F.col("node").alias("id"), "embedding", "m", "part", F.least("part", "o").alias("x"), F.greatest("part", "o").alias("y"))
