@@ -598,6 +598,48 @@ def test_plan_holds_every_item(n):
             assert sum(t for _, t in plan) <= 1.03 * sum(c * k for c, k in classes.items()) / 256 + 2
 
 
+@pytest.mark.parametrize("n", [1, 3, 300, 3000, 100_000])
+def test_dissolved_sequences_fill_the_others(n):
+    rng = np.random.default_rng(n)
+    for low, high in ((1, 257), (1, 100), (100, 257), (80, 140), (130, 131), (200, 257), (90, 92), (250, 251)):
+        classes = Counter(rng.integers(low, high, n).tolist())
+        plan, fill = packing.dissolve(packing.plan_patterns(dict(classes), 256), 256)
+        held = Counter(fill)
+        for items, times in plan:
+            held.update({c: a * times for c, a in items.items()})
+        assert held == classes
+        dealer = packing.Dealer(dict(classes), 256, 8)
+        used, pieces = Counter(), 0
+        for c, count in classes.items():
+            for rank in range(count) if n < 10_000 else set(rng.integers(0, count, 50).tolist()):
+                own = dealer.pieces(c, rank, 8 * c - 3)
+                assert sum(length for length, _, _ in own) == 8 * c - 3 and all(length > 0 for length, _, _ in own)
+                pieces += len(own)
+                for length, sequence, _ in own:
+                    used[sequence] += length
+        assert max(used.values()) <= 2048 and max(used) < dealer.sequences
+        if 3000 <= n < 10_000:
+            total = sum(c * k for c, k in classes.items())
+            assert dealer.sequences <= 1.035 * total / 256 + 3, (low, high)
+            assert pieces <= 4 * n
+
+
+@pytest.mark.parametrize("lengths", [(700, 1100), (1100, 1101), (1500, 2040)])
+def test_packing_cuts_remainders_that_fit_badly(spark, lengths):
+    rng = np.random.default_rng(6)
+    docs = spark.createDataFrame([(i, "\n\n" + " a" * int(rng.integers(*lengths))) for i in range(3000)], "doc_id long, text string")
+    rows = rows_of(packing.pack(docs, rank_rows=500))
+    at, done = defaultdict(int), defaultdict(int)
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == at[r["sequence_id"]]
+        at[r["sequence_id"]] += r["length"]
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["start"])):
+        assert r["start"] == done[r["doc_id"]] and len(r["ids"]) == 2 * r["length"]
+        done[r["doc_id"]] += r["length"]
+    assert max(at.values()) <= 2048 and all(done[r["doc_id"]] == r["doc_tokens"] for r in rows)
+    assert len(at) * 2048 <= 1.04 * sum(at.values())
+
+
 # 9 language
 
 

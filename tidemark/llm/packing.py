@@ -3,7 +3,9 @@
 A document fills whole sequences as far as it goes; its remainder is an item. Items are
 counted by length class, a linear program over patterns of classes is solved by column
 generation (a knapsack by dynamic programming prices the columns), the patterns' counts
-are rounded, and the documents, ranked within their class, are dealt to the patterns.
+are rounded, and the documents, ranked within their class, are dealt to the patterns. Where
+the patterns leave room, the emptiest sequences are dissolved and their documents cut to
+fill the others.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from tidemark.llm.common import ensure_columns, scratch_table
 GRAIN = 8
 #: Documents that a task ranks at a time, about.
 RANK_ROWS = 1 << 13
+#: Room in a sequence, in grains, from which it is filled with pieces; a smaller one would cut documents too fine.
+LEAST_ROOM = 8
 _encodings: dict[tuple[str, str], object] = {}
 #: Bytes of ids that a task hands on at a time, about.
 BATCH_BYTES = 4 << 20
@@ -220,26 +224,72 @@ def plan_patterns(classes: dict[int, int], capacity: int) -> list[tuple[dict[int
     return plan
 
 
+def dissolve(plan: list[tuple[dict[int, int], int]], capacity: int, least_room: int = LEAST_ROOM) -> tuple[list[tuple[dict[int, int], int]], dict[int, int]]:
+    """Take sequences out of the plan, emptiest first, as long as what they hold fits into the rooms of the others.
+
+    Returns what stays of the plan and how many items of each class are to fill it.
+    """
+    rooms = [capacity - sum(c * a for c, a in items.items()) for items, _ in plan]
+    free = sum(room * times for room, (_, times) in zip(rooms, plan, strict=True) if room >= least_room)
+    loose, fill, kept = 0, {}, []
+    for k in sorted(range(len(plan)), key=lambda k: -rooms[k]):
+        items, times = plan[k]
+        # A sequence taken out brings its items and takes its room with it.
+        out = min(times, max(0, (free - loose) // capacity)) if rooms[k] >= least_room else 0
+        free -= out * rooms[k]
+        loose += out * (capacity - rooms[k])
+        for c, a in items.items():
+            fill[c] = fill.get(c, 0) + a * out
+        if times > out:
+            kept.append((items, times - out))
+    return kept, {c: n for c, n in fill.items() if n}
+
+
 class Dealer:
-    """Where the document with a given rank in its class goes: sequence and place in it."""
+    """Where the document with a given rank in its class goes: the pieces of its remainder, each with sequence and place in it.
+
+    The last documents of a class may be the ones that fill rooms: laid end to end, class
+    after class, they run through all rooms, and are cut where a room ends.
+    """
 
-    def __init__(self, plan: list[tuple[dict[int, int], int]]) -> None:
+    def __init__(self, classes: dict[int, int], capacity: int, grain: int) -> None:
+        plan, fill = dissolve(plan_patterns(classes, capacity), capacity)
+        self.grain, self.sequences = grain, 0
         rows: dict[int, list[tuple[int, int, int, int]]] = {}
         next_rank: dict[int, int] = {}
-        self.sequences = 0
+        rooms, at = [], 0
         for items, times in plan:
             place = 0
             for c, a in sorted(items.items(), reverse=True):
                 rows.setdefault(c, []).append((next_rank.get(c, 0), a, self.sequences, place))
                 next_rank[c] = next_rank.get(c, 0) + a * times
                 place += a
+            room = capacity - sum(c * a for c, a in items.items())
+            if room >= LEAST_ROOM:
+                rooms.append((at, room, self.sequences))
+                at += room * times
             self.sequences += times
         self._rows = {c: np.array(r, np.int64) for c, r in rows.items()}
-
-    def place(self, c: int, rank: int) -> tuple[int, int]:
-        table = self._rows[c]
-        start, each, base, place = table[int(np.searchsorted(table[:, 0], rank, side="right")) - 1].tolist()
-        return base + (rank - start) // each, place + (rank - start) % each
+        self._rooms = np.array(rooms, np.int64).reshape(-1, 3)
+        self._whole = {c: n - fill.get(c, 0) for c, n in classes.items()}
+        self._laid, at = {}, 0
+        for c in sorted(fill, reverse=True):
+            self._laid[c] = at
+            at += c * fill[c]
+
+    def pieces(self, c: int, rank: int, length: int) -> list[tuple[int, int, int]]:
+        """(length, sequence, place) of each piece of a remainder of ``length`` tokens."""
+        if rank < self._whole[c]:
+            table = self._rows[c]
+            start, each, base, place = table[int(np.searchsorted(table[:, 0], rank, side="right")) - 1].tolist()
+            return [(length, base + (rank - start) // each, place + (rank - start) % each)]
+        out, at = [], self._laid[c] + c * (rank - self._whole[c])
+        while length > 0:
+            start, room, base = self._rooms[int(np.searchsorted(self._rooms[:, 0], at, side="right")) - 1].tolist()
+            ahead = room - (at - start) % room
+            out.append((min(length, ahead * self.grain), base + (at - start) // room, (1 << 20) + at))
+            at, length = at + ahead, length - ahead * self.grain
+        return out
 
 
 def tokenise(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
@@ -292,7 +342,7 @@ def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None, e
     earlier = Window.partitionBy("c").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("c", "salt", F.coalesce(F.sum("items").over(earlier), F.lit(0)).alias("items_before"), F.coalesce(F.sum("fulls").over(earlier), F.lit(0)).alias("fulls_before"))
     histogram = {r["c"]: (r["items"], r["fulls"]) for r in counts.groupBy("c").agg(F.sum("items").alias("items"), F.sum("fulls").alias("fulls")).collect()}
-    dealer = Dealer(plan_patterns({c: n for c, (n, _) in histogram.items() if c}, capacity // grain))
+    dealer = Dealer({c: n for c, (n, _) in histogram.items() if c}, capacity // grain, grain)
     full_base, at = {}, dealer.sequences
     for c in sorted(histogram):
         full_base[c] = at
@@ -316,11 +366,14 @@ def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None, e
             out: list[tuple] = []
             for doc, raw, n, c, rank, first_full in zip(*[b.column(k) for k in range(6)], strict=True):
                 doc, raw, n, c, rank, first_full = (x.as_py() for x in (doc, raw, n, c, rank, first_full))
-                for start in range(0, n, capacity):
-                    length = min(capacity, n - start)
+                parts = [(capacity, full_base[c] + first_full + k, 0) for k in range(n // capacity)]
+                if n % capacity:
+                    parts += dealer.pieces(c, rank, n % capacity)
+                start = 0
+                for length, sequence, place in parts:
                     own = raw[2 * start : 2 * (start + length)]
-                    sequence, place = (full_base[c] + first_full + start // capacity, 0) if length == capacity else dealer.place(c, rank)
                     out.append((doc, start, length, zlib.crc32(np.frombuffer(own, "<u2").astype("<u4").tobytes()), n, sequence, place, own))
+                    start += length
                     if len(out) * 2 * capacity >= BATCH_BYTES:
                         yield packed(out)
                         out = []
