@@ -36,6 +36,9 @@ def test_embeddings_with_links(spark, tmp_path):
     data = [Row(vec_id=1000 - i, embedding=(base[i % 40] + 0.06 * (i % 5) * rng.standard_normal(32)).tolist(), label=i % 3) for i in range(600)]
     data += [Row(vec_id=2000 + i, embedding=v, label=1) for i, v in enumerate((None, [], [0.0] * 32, [1.0, None], [float("nan")] * 32, [float("inf")] + [0.0] * 31, base[0].tolist(), base[0].tolist()))]
     data.append(Row(vec_id=3000, embedding=base[0].tolist(), label=None))
+    # One id for vectors that are far apart, near others, equal, and in two labels.
+    data += [Row(vec_id=4000 + i % 3, embedding=(base[i] * (-1 if i < 3 else 1)).tolist(), label=i % 2) for i in range(12)]
+    data += [Row(vec_id=4000, embedding=base[3].tolist(), label=1), Row(vec_id=4001, embedding=(-base[2]).tolist(), label=0)]
     spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     columns, rows = compare(spark, tmp_path, "op2_embedding_dedup")
     at = sorted(columns).index("n_links")

@@ -124,7 +124,8 @@ def near_duplicate_vectors(
     double precision. A vector that is null, empty, zero or has a null or non-finite
     component, one without a label and one without an id links with nothing: it is its own
     component with no links. Equal vectors of a label are joined first and compared once;
-    repeated rows are vectors of their own; other columns are ignored. ``n_links``: other
+    repeated rows are vectors of their own, and so are different vectors with one vec_id,
+    which that alone does not link; other columns are ignored. ``n_links``: other
     vectors linked directly; ``component_id``: the smallest vec_id reachable. An empty table
     gives an empty result. Exact counts inside a component of n different vectors take n * n
     cosines, whatever the method; each vector is sent to n / ``block_limit`` blocks (at least 8).
@@ -132,7 +133,7 @@ def near_duplicate_vectors(
     finite = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & finite & F.exists("embedding", lambda x: x != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), "embedding").withColumn("usable", F.coalesce(usable, F.lit(False)))
-    classes = checkpoint(rows.where("usable").groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("m")).withColumn("dim", F.size("embedding")))
+    classes = checkpoint(rows.where("usable").groupBy("label", "embedding").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("m")).withColumns({"dim": F.size("embedding"), "id": F.monotonically_increasing_id()}))
     labels = checkpoint(classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("rows")))
     most = labels.agg(F.max("rows")).first()[0] or 0
     bits = prefix_bits(most, window)
@@ -166,19 +167,20 @@ def near_duplicate_vectors(
     crowd = crowd.withColumn("w", F.when(F.col("count") <= 512, F.pmod(own, F.lit(workers).cast("long"))).otherwise(own))
     crowd = crowd.select("pass", "label", "dim", "prefix", "id", "part", "x", "y", "w").join(classes.select("id", "embedding"), "id")
     found = found.unionByName(crowd.groupBy("w").applyInPandas(_compare_runs(threshold), "a long, b long"))
-    components = checkpoint(connected_components(found))
+    nodes = connected_components(found).join(classes.select(F.col("id").alias("node"), "low"), "node")
     # A component is cut into up to 8 parts of block_rows; a larger one into larger parts, so that a vector is sent to few blocks.
     n = F.count(F.lit(1))
-    sizes = components.groupBy("component").agg(F.least(F.ceil(n / block_rows), F.greatest(F.lit(8), F.ceil(n / block_limit))).cast("int").alias("g"))
-    members = components.join(sizes, "component").join(classes.select(F.col("id").alias("node"), "embedding", "m"), "node")
+    sizes = nodes.groupBy("component").agg(F.least(F.ceil(n / block_rows), F.greatest(F.lit(8), F.ceil(n / block_limit))).cast("int").alias("g"), F.min("low").alias("component_id"))
+    components = checkpoint(nodes.drop("low").join(sizes, "component"))
+    members = components.join(classes.select(F.col("id").alias("node"), "embedding", "m"), "node")
     members = members.withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "node"), F.col("g").cast("long")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     blocks = members.select("component", F.col("node").alias("id"), "embedding", "m", "part", F.least("part", "o").alias("x"), F.greatest("part", "o").alias("y"))
     counted = blocks.groupBy("component", "x", "y").applyInPandas(_count_links(threshold), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     known = (
-        classes.join(components.withColumnRenamed("node", "id"), "id", "left")
+        classes.join(components.select(F.col("node").alias("id"), "component_id"), "id", "left")
         .join(counted, "id", "left")
-        .select("label", "embedding", F.coalesce("component", "id").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n"))
+        .select("label", "embedding", F.coalesce("component_id", "low").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n"))
     )
-    linked = rows.where("usable").join(known, ["label", "embedding"]).select("vec_id", F.col("n").alias("n_links"), F.col("component").alias("component_id"))
+    linked = rows.where("usable").join(known, ["label", "embedding"]).select("vec_id", F.col("n").alias("n_links"), "component_id")
     alone = rows.where("NOT usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
