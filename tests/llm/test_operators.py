@@ -673,6 +673,18 @@ def test_language_sample_is_bounded(documents, monkeypatch):
     assert set(seen[0].values()) == {40 // len(seen[0])} and set(seen[1].values()) == {5}
 
 
+def test_language_sample_with_hot_rows(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(language_id.LanguageModel, "fit", classmethod(lambda cls, x, langs, families: taken.append(x)))
+    rows = [(None, f"no id {chr(97 + k % 26)}{chr(97 + k // 26)}", "en") for k in range(600)] + [(k, f"an id {chr(97 + k % 26)}{chr(97 + k // 26)}", "en") for k in range(600)]
+    rows += [(-1, "one and the same", "en")] * 1500 + [(None, "another one", "en")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    for _ in range(2):
+        language_id.train(docs, per_language=300)
+    x, again = taken
+    assert 100 <= len(x) <= 300 and (x == again).all() and len({r.tobytes() for r in x}) == len(x)
+
+
 def test_features_are_the_same_in_chunks(monkeypatch):
     text = "Füße im Schnee " * 50
     whole = language_id.featurise(text)

@@ -139,8 +139,9 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, families: di
 
     Reads ``doc_id, text, lang``; rows with a null label, without a letter in the text or in
     the held-out part are not learned from. The sample is the documents with the smallest
-    hashes of their ids, found by a threshold from the counts of the labels, and only their
-    feature vectors reach the driver.
+    hashes of ids and texts, found by a threshold from the counts of the labels, and only their
+    feature vectors reach the driver. Rows without an id are drawn by their texts; of rows that
+    agree in id, text and label one is learned from.
     """
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     labelled = labelled.where(F.col("lang").isNotNull() & ~held_out() & (F.col("lang") != "und"))
@@ -149,16 +150,18 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, families: di
         return LanguageModel()
     per_language = max(2, min(per_language, at_most // len(counts)))
     share = F.create_map(*[F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, min(1.0, (1.3 * per_language + 30) / n))])
-    draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    first = Window.partitionBy("lang").orderBy("draw", "doc_id")
-    sample = labelled.withColumn("draw", draw).where((F.col("draw") < F.element_at(share, F.col("lang"))) & F.col("text").isNotNull())
+    key = F.xxhash64(F.lit("language"), "doc_id", "text")
+    draw = F.pmod("key", F.lit(1 << 30)) / float(1 << 30)
+    first = Window.partitionBy("lang").orderBy("draw", "key")
+    drawn = labelled.withColumn("key", key).withColumn("draw", draw).where((F.col("draw") < F.element_at(share, F.col("lang"))) & F.col("text").isNotNull())
+    sample = drawn.dropDuplicates(["lang", "key"])  # each task sends a repeated row once
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             keep = b[[has_letter(t) for t in b["text"]]]
-            yield pd.DataFrame({"doc_id": keep["doc_id"], "lang": keep["lang"], "draw": keep["draw"], "x": [featurise(t).tobytes() for t in keep["text"]]})
+            yield pd.DataFrame({"key": keep["key"], "lang": keep["lang"], "draw": keep["draw"], "x": [featurise(t).tobytes() for t in keep["text"]]})
 
-    rows = sample.select("doc_id", "lang", "draw", "text").mapInPandas(features, "doc_id long, lang string, draw double, x binary")
+    rows = sample.select("key", "lang", "draw", "text").mapInPandas(features, "key long, lang string, draw double, x binary")
     rows = rows.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_language).orderBy("lang", "rank").select("lang", "x").collect()
     if not rows:
         return LanguageModel()
